@@ -11,7 +11,8 @@ deviation; blocks on the chosen paths are the content.
 Elements that never hold article text (script, style, nav, aside, header outside
 an article, footer, form, menus and comment or advert containers told by role,
 class or id words) are skipped with all they contain. When the page marks its
-article (article, main, role=main) the choice is made inside it.
+article (article, main, role=main) the paths inside it compete; headings follow
+the text they head.
 
 Null or empty html gives an empty text; nothing is cut or capped; repeated rows
 and ties are handled row by row; other columns are ignored; one row out per row
@@ -49,6 +50,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?[a-zA
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORDS = re.compile(r"[a-z]+")
+_LEGAL = re.compile(r"(©|\(c\)|copyright)\s*\d{4}|all rights reserved", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
@@ -167,17 +169,22 @@ def chosen(found: list[tuple[Block, str]], smooth: int, strictness: float) -> se
     return {path for path, f in zip(order, fused, strict=True) if f >= strictness * spread and f > 0}
 
 
-def main_text(page: str | None, smooth: int = 1, strictness: float = 0.1) -> str:
-    """The main text of one page: its content blocks, each with single spaces, joined by one space."""
+def main_text(page: str | None, smooth: int = 1, strictness: float = 0.5, marked_strictness: float = 0.1) -> str:
+    """The main text of one page: its content blocks, each with single spaces, joined by one space.
+
+    Where the page marks its article, only blocks in it compete and the threshold
+    is low (``marked_strictness``); elsewhere paths compete over the whole body.
+    """
     if not page:
         return ""
     found = [(b, text) for b in blocks(page) if (text := _SPACE.sub(" ", "".join(b.parts)).strip())]
-    if any(b.article for b, _ in found):  # a marked article is the content: what is not furniture in it stays
-        return " ".join(text for b, text in found if b.article)
+    marked = [x for x in found if x[0].article]
+    found = marked or [x for x in found if not _LEGAL.match(x[1])]
     if not found:
         return ""
-    keep = chosen(found, smooth, strictness)
-    return " ".join(text for b, text in found if b.path in keep or re.fullmatch(r"h[1-3]", b.path[-1] if b.path else ""))
+    keep = chosen(found, smooth, marked_strictness if marked else strictness)
+    titles = {b.path for b, _ in found if b.path and b.path[-1] in ("h1", "h2", "h3")}  # titles of kept text
+    return " ".join(text for b, text in found if b.path in keep or b.path in titles)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

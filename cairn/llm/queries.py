@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import html_text, quality, token_counts, toxicity
+from cairn.llm import bpe, html_text, quality, token_counts, toxicity
 from cairn.session import table
 
 
@@ -17,6 +17,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }

@@ -178,7 +178,7 @@ def dictionary_rows(block: Block, name: str, n_parts: int, encode: Callable[[obj
     while first < len(lengths):
         base = ends[first] - lengths[first]
         last = max(first + 1, int(np.searchsorted(ends, base + doc_tokens, side="right")))
-        extra = [repr(block.extra[first:last]).encode()] if block.extra[first] is not None else []
+        extra = [np.array(block.extra[first:last], dtype="<f8").tobytes()] if block.extra[first] is not None else []
         yield zlib.crc32(name.encode()), name, DOCS, first, pack(ids_to_bytes(block.ids[first:last]), planes(lengths[first:last]), planes(ranks[base : ends[last - 1]]), *extra)
         first = last
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import small_batches
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 14_000_000
 
 ROW_SCHEMA = "slot long, block string, kind int, part int, payload binary"
 HEADER, WORDS, DOCS, STATS = 0, 1, 2, 3

@@ -3,10 +3,11 @@
 Base rules: at least 50 words, and at most half of the words inside three-word
 windows that the text repeats. Distribution rules: the text's character classes
 and its common words are compared with language references by Jensen-Shannon
-distance, and a text far from every reference is rejected. References are sums
+distance, and a text far from every reference is rejected: the distances to the
+nearest reference of each kind may sum to ``max_divergence``. References are sums
 over the whole table, one per language that has a common-word list and one for all
-other languages. Guards: texts under ``min_chars`` characters in words skip the
-character check, texts under ``min_words`` words the common-word check.
+other languages. Guard: the histograms of texts under ``min_words`` words are thin, so
+these are held to ``short_divergence`` only (and under 50 words the base rules decide).
 
 Two narrow passes over the text and one tiny aggregation; no text is shuffled.
 Null texts have no words and fail the base rules; a null lang counts as another
@@ -123,7 +124,7 @@ def word_distance(reference: list[float]) -> Column:
     return F.expr(" ".join(term.split()))
 
 
-def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 200, max_char_distance: float = 0.18, max_word_distance: float = 0.45, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 100, max_divergence: float = 0.45, short_divergence: float = 0.60, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, both distances and kept.
 
     ``docs`` must not have columns of these names; ``lang_col`` may be missing.
@@ -143,5 +144,5 @@ def judge(docs: DataFrame, min_words: int = 100, min_chars: int = 200, max_char_
     else:
         rows = rows.withColumn("char_distance", F.lit(0.0)).withColumn("word_distance", F.lit(0.0))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    far = ((F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
+    far = F.col("char_distance") + F.col("word_distance") > F.when(F.col("n_words") >= min_words, max_divergence).otherwise(short_divergence)
     return rows.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~far).alias("kept"))

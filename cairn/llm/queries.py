@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, chat, decontaminate, html_text, ngram_lm, quality, rules, token_counts, toxicity
+from cairn.llm import bpe, chat, decontaminate, html_text, jaccard_join, ngram_lm, quality, rules, token_counts, toxicity
 from cairn.session import table
 
 
@@ -30,6 +30,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_html_extraction": op4_html_extraction,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,

@@ -18,8 +18,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.drop("text", "lang")
+    return rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,15 +124,15 @@ def word_distance(reference: list[float]) -> Column:
     return F.expr(" ".join(term.split()))
 
 
-def judge(docs: DataFrame, min_words: int = 100, max_divergence: float = 0.45, short_divergence: float = 0.60, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, both distances and kept.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
-    ``docs`` must not have columns of these names; ``lang_col`` may be missing.
-    """
-    if lang_col not in docs.columns:
-        docs = docs.withColumn(lang_col, F.lit(None).cast("string"))
-    counted = base_counts(docs, text_col)
-    known = references(counted, lang_col, 50)
+
+def judged(docs: DataFrame, columns: list[str], min_words: int = 100, max_divergence: float = 0.45, short_divergence: float = 0.60, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """MEASURES for every row, and __row, a struct of the named columns (so no name can clash)."""
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"), lang.alias("__lang_of"))
+    counted = base_counts(own, "__text")
+    known = references(counted, "__lang_of", 50)
     rows = histograms(counted).withColumn("__n", F.greatest(F.col("word_chars"), F.lit(1)).cast("double"))
     rows = rows.withColumn("__k", F.expr("transform(array_distinct(__hits), k -> struct(CAST(k - 1 AS int) AS b, size(filter(__hits, x -> x = k)) / CAST(n_words AS double) AS p))"))
     others = f"struct({len(BINS)} AS b, (n_words - size(__hits)) / CAST(greatest(n_words, 1) AS double) AS p)"
@@ -145,4 +145,14 @@ def judge(docs: DataFrame, min_words: int = 100, max_divergence: float = 0.45, s
         rows = rows.withColumn("char_distance", F.lit(0.0)).withColumn("word_distance", F.lit(0.0))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     far = F.col("char_distance") + F.col("word_distance") > F.when(F.col("n_words") >= min_words, max_divergence).otherwise(short_divergence)
-    return rows.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~far).alias("kept"))
+    return rows.select("__row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~far).alias("kept"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, *MEASURES) for every row."""
+    return judged(docs, [id_col], **options).select("__row.*", *MEASURES)
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows that the rules keep, with all their own columns."""
+    return judged(docs, docs.columns, **options).where("kept").select("__row.*")

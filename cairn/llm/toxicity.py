@@ -44,6 +44,8 @@ GENERAL = {
     "es": "idiota imbécil estúpido basura escoria patético asqueroso payaso".split(),
 }
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¿¡«»“”„…"
+#: e^-14 for each key: among millions of keys less than a handful pass by chance.
+LEAST_EVIDENCE = 14.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
@@ -88,11 +90,15 @@ def induced(rows: DataFrame, most: int) -> tuple[list[str], dict[int, int]]:
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if n1 < 10 or n0 < 10:
         return [], sizes
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    # evidence (nats) that a key's documents are toxic more often than others, by the Chernoff bound
+    base = n1 / (n1 + n0)
+    n, share = F.col("n1") + F.col("n0"), F.col("n1") / (F.col("n1") + F.col("n0"))
+    evidence = F.col("n1") * F.log(share / base) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     strongest = (
         count_keys(rows.select("label_value", "text"))
-        .where((F.col("n1") >= max(3, n1 // 200)) & (odds > 2.0))
-        .withColumn("weight", odds * F.sqrt("n1"))
+        .where((n >= 3) & (share > F.lit(min(0.9, 4 * base))))
+        .withColumn("weight", evidence)
+        .where(F.col("weight") >= LEAST_EVIDENCE)
         .orderBy(F.desc("weight"), F.desc(F.length("key")), "key")
         .limit(24 * most)
         .collect()

@@ -84,7 +84,10 @@ def references(rows: DataFrame, lang_col: str, least_words: int) -> dict[str, tu
     A few hundred sums reach the driver, whatever the corpus.
     """
     plain = (F.col("n_symbols") * 50 <= F.col("word_chars")) & (F.col("n_upper") * 4 <= F.col("word_chars"))
-    long_enough = histograms(rows.where(F.col("n_words") >= least_words)).where(plain).withColumn("__lang", language(F.col(lang_col)))
+    # conditions stand inside expressions, not in filters: the optimiser would push a filter down through every definition above
+    plain = (F.col("n_words") >= least_words) & (F.col("n_symbols") * 50 <= F.col("word_chars")) & (F.col("n_upper") * 4 <= F.col("word_chars"))
+    own = histograms(rows).withColumn("__ok", plain)
+    long_enough = own.select(language(F.col(lang_col)).alias("__lang"), *(F.when(F.col("__ok"), F.col(c)).alias(c) for c in ("n_words", *CLASSES, "__hits")))
     # a row for each common word of a text; the text's own sums stand on the first
     hits = long_enough.select("__lang", "n_words", *CLASSES, F.posexplode_outer("__hits").alias("at", "bin"))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
@@ -155,4 +158,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows that the rules keep, with all their own columns."""
-    return judged(docs, docs.columns, **options).where("kept").select("__row.*")
+    marked = judged(docs, docs.columns, **options).select("__row", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__kept"))
+    return marked.where(F.col("__kept").isNotNull()).select("__row.*")  # a filter on a generated column is not pushed down

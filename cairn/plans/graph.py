@@ -50,3 +50,67 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         b = parent.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         live = cut(live.join(a, "u").join(b, "v").where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
     raise RuntimeError("components did not settle")
+
+
+def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(root, node) pairs reachable along directed edges from every seed root, itself included.
+
+    ``seeds`` has one column, root. A frontier loop: each round joins only the
+    pairs found in the last one, so work follows the result's size.
+    """
+    hops = cut(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct())
+    found = cut(seeds.select(F.col(seeds.columns[0]).alias("root")).where("root IS NOT NULL").distinct().withColumn("node", F.col("root")))
+    frontier = found
+    for _ in range(max_rounds):
+        step = frontier.join(hops, "node").select("root", F.col("next").alias("node")).distinct()
+        frontier = cut(step.join(found, ["root", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = cut(found.union(frontier))
+    raise RuntimeError("closure did not settle")
+
+
+def grounded(recipes: DataFrame, inputs: DataFrame, outputs: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """AND/OR fixpoint: nodes that are seeds or outputs of a recipe all of whose inputs are grounded.
+
+    recipes(recipe), inputs(recipe, node), outputs(recipe, node), seeds(node). A
+    recipe without inputs fires at once. Each round counts down, per recipe, the inputs that
+    became grounded in the round before, instead of testing all inputs again.
+    Returns (node, round), round 0 for seeds.
+    """
+    live = recipes.select("recipe").distinct()
+    needs = cut(inputs.select("recipe", "node").distinct().join(live, "recipe", "left_semi"))
+    makes = cut(outputs.select("recipe", "node").distinct().join(live, "recipe", "left_semi"))
+    # inputs still missing per recipe
+    waiting = cut(live.join(needs.groupBy("recipe").agg(F.count(F.lit(1)).alias("missing")), "recipe", "left").fillna(0, ["missing"]))
+    found = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("round", F.lit(0)))
+    ready = waiting.where("missing = 0").select("recipe")
+    fresh = found.select("node")
+    for number in range(1, max_rounds + 1):
+        paid = fresh.join(needs, "node").groupBy("recipe").agg(F.count(F.lit(1)).alias("paid"))
+        waiting = cut(waiting.join(paid, "recipe", "left").select("recipe", (F.col("missing") - F.coalesce("paid", F.lit(0))).alias("missing"), F.col("paid").isNotNull().alias("moved")))
+        fired = waiting.where("missing = 0 AND moved").select("recipe")
+        if number == 1:
+            fired = fired.union(ready).distinct()
+        fresh = cut(makes.join(fired, "recipe").select("node").distinct().join(found, "node", "left_anti"))
+        waiting = waiting.drop("moved")
+        if fresh.isEmpty():
+            return found
+        found = cut(found.union(fresh.withColumn("round", F.lit(number))))
+    raise RuntimeError("fixpoint did not settle")
+
+
+def chain_top(parents: DataFrame, max_doublings: int = 6) -> DataFrame:
+    """(node, top): the end of each node's chain of parents, by pointer jumping; over 2^max_doublings hops is an error.
+
+    parents(node, parent), parent null at a top.
+    """
+    jump = cut(parents.select("node", F.coalesce("parent", "node").alias("top")))
+    for _ in range(max_doublings + 1):
+        up = jump.select(F.col("node").alias("top"), F.col("top").alias("above"))
+        then = cut(jump.join(up, "top", "left").select("node", F.col("top"), F.coalesce("above", "top").alias("next")))
+        done = then.where("next <> top").isEmpty()
+        jump = then.select("node", F.col("next").alias("top"))
+        if done:
+            return jump
+    raise RuntimeError("parent chain is too long or has a cycle")

@@ -74,7 +74,7 @@ def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
     gear, raw = _gear(), np.frombuffer(data, dtype=np.uint8)
     with np.errstate(over="ignore"):
         h = np.zeros(n, dtype=np.uint64)
-        for back in range(32):  # h[i] = sum of gear[b[i - back]] << back
+        for back in range(min(32, n)):  # h[i] = sum of gear[b[i - back]] << back
             h[back:] += gear[raw[: n - back]] << np.uint64(back)
     bits = max(1, average.bit_length() - 1)
     strict, loose = np.uint64((1 << bits + 1) - 1) << np.uint64(16), np.uint64((1 << max(1, bits - 1)) - 1) << np.uint64(16)

@@ -394,12 +394,12 @@ def grounding(spark, sf):
     return graph.grounded(recipes, inputs, outputs, t(spark, sf, "part").where("p_partkey % 2 <> 0").select(F.col("p_partkey").alias("node"))).select("node")
 
 
-@query(_ground_sql("p_partkey % 2 <> 0 AND p_partkey <> 199") + " WHERE node = 199")
+@query(_ground_sql("p_partkey % 2 <> 0 AND p_partkey <> 1979") + " WHERE node = 1979")
 def evictable(spark, sf):
-    """Is content 199 still grounded when its own literal is gone? One row if so."""
+    """Is content 1979 still grounded when its own literal is gone? One row if so."""
     recipes, inputs, outputs = _recipes(spark, sf)
-    seeds = t(spark, sf, "part").where("p_partkey % 2 <> 0 AND p_partkey <> 199").select(F.col("p_partkey").alias("node"))
-    return graph.grounded(recipes, inputs, outputs, seeds).where("node = 199").select("node")
+    seeds = t(spark, sf, "part").where("p_partkey % 2 <> 0 AND p_partkey <> 1979").select(F.col("p_partkey").alias("node"))
+    return graph.grounded(recipes, inputs, outputs, seeds).where("node = 1979").select("node")
 
 
 @query("SELECT p_partkey AS node, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 0 END, (SELECT min(l_linenumber % 3) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'A'), 2) AS seek_class FROM part")

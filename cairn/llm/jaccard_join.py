@@ -3,9 +3,11 @@
 1. Shingles are hashed to 64 bits. Exact equal sets form a class (digest).
 2. Candidates are found without loss by prefix filtering: under one global order of
    shingles, two sets of Jaccard >= t share one of their first n - ceil(t n) + 1
-   shingles. The order puts frequent shingles last; which are frequent is read
-   from a Bloom filter of fixed size, built from counts over all documents. A
-   wrong or full filter only changes the order, never the result.
+   shingles. The order puts shingles that several sets hold last; they are read from a
+   Bloom filter of fixed size, built from counts over all documents. A shingle
+   outside the filter has one set only, so it takes its place in the prefix but
+   need not be sent anywhere: texts with a quarter of their shingles to themselves
+   end here. A full filter only sends more; it never loses a pair.
 3. Sets that share a prefix shingle are chained into candidate clusters
    (connected components, distributed). Each cluster gets signature trees: nodes
    hold the OR of token bitmaps and size ranges, and a dual traversal prunes node
@@ -97,17 +99,17 @@ class HotFilter:
         return found
 
 
-def frequent(rows: DataFrame, percent: int, hot_count: int, bits: int) -> HotFilter:
-    """Shingles that stand in the hash-order prefixes of over ``hot_count`` documents."""
+def shared_shingles(rows: DataFrame, bits: int) -> HotFilter:
+    """Shingles of two or more different sets, counted over all documents."""
     part_bits = part_bits_for(B.part_count(rows))
     n_parts, segment_bits = 1 << part_bits, bits >> part_bits
     small_batches(rows.sparkSession)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks_of(batches, B.word_tokens):
-            found = {s.tobytes(): s[: prefix_length(len(s), percent)] for s in sets_of(block)}  # equal sets once
-            keys = np.concatenate(list(found.values())) >> np.uint64(64 - HOT_BITS)
-            keys, counts = np.unique(keys, return_counts=True)
+            found = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets_of(block)}  # equal sets once
+            keys, counts = np.unique(np.concatenate(list(found.values())) >> np.uint64(64 - HOT_BITS), return_counts=True)
+            counts = np.minimum(counts, 2)
             bounds = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(HOT_BITS - part_bits)).tolist()
             out = [(p, "", B.WORDS, p, B.pack(B.planes(np.diff(keys[a:b], prepend=np.uint64(0))), B.planes(counts[a:b]))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
             if out:
@@ -122,14 +124,14 @@ def frequent(rows: DataFrame, percent: int, hot_count: int, bits: int) -> HotFil
         for part, held in parts.items():
             keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             counts = np.bincount(where, weights=np.concatenate([c for _, c in held]))
-            hot = keys[counts > hot_count]
+            hot = keys[counts > 1]
             if len(hot):
                 mark = np.zeros(segment_bits, dtype=bool)
                 for at in HotFilter.places(hot, segment_bits):
                     mark[at] = True
                 yield B.rows_to_batch([(0, "", B.STATS, part, np.packbits(mark, bitorder="little").tobytes())])
 
-    built = B.deal(rows.mapInArrow(prefixes, B.ROW_SCHEMA), n_parts, "slot").mapInArrow(build, B.ROW_SCHEMA).select("part", "payload").collect()  # ``bits`` in all
+    built = B.deal(rows.mapInArrow(count, B.ROW_SCHEMA), n_parts, "slot").mapInArrow(build, B.ROW_SCHEMA).select("part", "payload").collect()  # ``bits`` in all
     if not built:
         return HotFilter(None, part_bits, segment_bits)
     data, size = np.zeros(bits >> 3, dtype=np.uint8), segment_bits >> 3
@@ -161,10 +163,11 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
                 if not len(s) or block.ids[i] is None or digests[i] in seen:
                     continue
                 seen.add(digests[i])  # equal sets share a digest; one of them stands for all
-                p = prefix_length(len(s), percent)
-                ordered = s if not hot_ones.any() else np.concatenate([s[~hot_ones], s[hot_ones]])
-                keys.append(ordered[:p] >> np.uint64(64 - KEY_BITS))
-                nodes.append(np.full(p, i, dtype=np.int64))
+                shared_ones = s[hot_ones]
+                p = prefix_length(len(s), percent) - (len(s) - len(shared_ones))  # the set's own shingles come first and meet nothing
+                if p > 0:
+                    keys.append(shared_ones[:p] >> np.uint64(64 - KEY_BITS))
+                    nodes.append(np.full(len(keys[-1]), i, dtype=np.int64))
             out = [(0, str(first), B.DOCS, 0, B.pack(B.ids_to_bytes(block.ids), B.planes(sizes), b"".join(digests)))]
             if keys:
                 key, node = np.concatenate(keys), np.concatenate(nodes)
@@ -245,11 +248,11 @@ def tree_links(tasks: DataFrame, id_type: str, percent: int) -> DataFrame:
     return tasks.mapInArrow(run, f"src {id_type}, dst {id_type}")
 
 
-def join_documents(docs: DataFrame, percent: int = 75, hot_count: int = 32, hot_bits: int = 1 << 27, chunk: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28, chunk: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
     id_type = type_of(docs, id_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    hot = frequent(rows, percent, hot_count, hot_bits)
+    hot = shared_shingles(rows, hot_bits)
     own, edges = sketched(rows, hot, percent, id_type)
     own = cut(own)
     classes = cut(own.where("id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")))

@@ -50,7 +50,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, mos
     candidates = asked.join(F.broadcast(probe) if bound["n"] <= most_broadcast else probe, "hash").select("doc", "item").distinct()
     held = own.select("item", F.col("sh").alias("item_sh"))
     pairs = candidates.join(F.broadcast(held) if bound["n"] <= most_broadcast else held, "item")
-    exact = pairs.join(sets, "doc").select("doc", "item", F.size("item_sh").cast("long").alias("q"), F.size(F.array_intersect("sh", "item_sh")).cast("long").alias("n_shared"))
+    whole = with_shingles(pairs.join(texts, "doc"), "t", "sh")  # the text travels, not its much larger array of hashes
+    exact = whole.select("doc", "item", F.size("item_sh").cast("long").alias("q"), F.size(F.array_intersect("sh", "item_sh")).cast("long").alias("n_shared"))
     found = exact.where(F.col("n_shared") >= F.col("q") * containment - 1e-9).groupBy("doc", "item", "q").agg(F.max("n_shared").alias("n_shared"))
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("q").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
 

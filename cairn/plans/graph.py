@@ -114,3 +114,15 @@ def chain_top(parents: DataFrame, max_doublings: int = 6) -> DataFrame:
         if done:
             return jump
     raise RuntimeError("parent chain is too long or has a cycle")
+
+
+def witnesses(found: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(node, recipe): a derivation that is free of cycles, the smallest recipe that could first make each derived node.
+
+    ``found`` is grounded()'s result. A recipe is ready in the round after its last
+    input; a node's witness is ready by the round in which the node was found.
+    """
+    ready = inputs.join(found.select("node", F.col("round").alias("at")), "node", "left").groupBy("recipe").agg(F.max("at").alias("at"), F.count_if(F.col("at").isNull()).alias("open")).where("open = 0")
+    made = outputs.join(ready.select("recipe", "at"), "recipe", "left").join(inputs.select("recipe").distinct().withColumn("needs", F.lit(True)), "recipe", "left")
+    usable = made.where("needs IS NULL OR at IS NOT NULL").select("recipe", "node", F.coalesce("at", F.lit(-1)).alias("at"))
+    return usable.join(found.where("round > 0"), "node").where("at < round").groupBy("node").agg(F.min("recipe").alias("recipe"))

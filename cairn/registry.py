@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
-from cairn.operators import audit, byteops, diff, identity, layout, queue, recon, selection, store
+from cairn.operators import audit, byteops, diff, identity, layout, queue, recon, selection, store, views
 from cairn.plans import graph
 from cairn.session import table as t
 
@@ -550,3 +550,34 @@ def render_split(spark, sf):
 @query(f"WITH RECURSIVE m AS ({_MACHINES}), c AS ({_MCLAIMS}), up(node, top) AS (SELECT machine, machine FROM m UNION SELECT up.node, m.parent FROM up JOIN m ON up.top = m.machine WHERE m.parent IS NOT NULL), tops AS (SELECT node, min(top) AS top FROM up GROUP BY node), x AS (SELECT CASE WHEN is_device OR is_bios THEN c.machine ELSE top END AS set, file, hash, claim FROM c JOIN m ON m.machine = c.machine JOIN tops ON node = c.machine WHERE NOT (is_device OR is_bios) OR merge_name IS NULL) SELECT set, file, min(claim) AS claim FROM x GROUP BY set, file, hash")
 def render_merged(spark, sf):
     return layout.render_sets(*_machine_set(spark, sf), "merged")
+
+
+# ---------------------------------------------------------------- views, routes, evidence
+
+_CANDIDATES = "SELECT p_partkey AS entry, p_name || CASE WHEN p_partkey % 9 = 0 THEN '/' ELSE '' END AS name, sha256(CAST(p_partkey AS VARCHAR)) AS hash, p_size AS size, p_brand || CAST(p_partkey % 40 AS VARCHAR) AS family, CASE WHEN p_type LIKE 'S%' THEN 0 ELSE 1 END AS rank, -p_size AS rev FROM part"
+
+
+@query(f"""WITH c AS ({_CANDIDATES}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY rank, rev, entry) AS n FROM c) WHERE n = 1),
+p AS (SELECT entry, hash, size, upper(substr(name, 1, 1)) || '/' || replace(name, '/', '_') AS path FROM best WHERE size <= 45),
+q AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY entry) = 1 THEN path ELSE path || ' (' || substr(hash, 1, 8) || ')' END AS fp FROM p),
+d AS (SELECT *, split_part(fp, '/', 1) AS dir, split_part(fp, '/', 2) AS leaf, count(*) OVER (PARTITION BY split_part(fp, '/', 1)) AS in_dir FROM q)
+SELECT dir || '/' || CASE WHEN in_dir > 60 THEN upper(substr(hash, 1, 1)) || '/' ELSE '' END || leaf AS path, entry, hash, size FROM d""")
+def view_manifest(spark, sf):
+    t(spark, sf, "part").createOrReplaceTempView("cairn_part")
+    candidates = spark.sql(_CANDIDATES.replace("FROM part", "FROM cairn_part").replace("VARCHAR", "STRING").replace("sha256(CAST(p_partkey AS STRING))", "sha2(CAST(p_partkey AS STRING), 256)"))
+    view = views.ViewDef("parts", one_per_family=True, score=("rank", "rev"), max_size=45, directory_limit=60)
+    return views.evaluate(view, candidates)
+
+
+@query("SELECT p_partkey AS node, CAST(coalesce((SELECT min(l_orderkey) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'R'), -1) AS BIGINT) AS recipe FROM part WHERE p_partkey % 2 = 0")
+def first_route(spark, sf):
+    """The smallest usable recipe of every content that is not stored."""
+    routes = t(spark, sf, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_partkey").alias("node")).agg(F.min("l_orderkey").alias("recipe"))
+    return t(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node")).join(routes, "node", "left").select("node", F.coalesce("recipe", F.lit(-1)).cast("long").alias("recipe"))
+
+
+@query("SELECT s.hash AS hash, CASE WHEN f.digest IS NULL THEN 'missing' WHEN f.digest = s.digest THEN 'valid' ELSE 'corrupt' END AS result FROM (SELECT doc_id AS hash, sha256(text) AS digest FROM documents) s LEFT JOIN (SELECT doc_id AS hash, sha256(CASE WHEN doc_id % 17 = 0 THEN text || '!' ELSE text END) AS digest FROM documents WHERE doc_id % 23 <> 0) f ON s.hash = f.hash")
+def scrub(spark, sf):
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("hash"), "text")
+    found = docs.where("hash % 23 <> 0").select("hash", F.sha2(F.when(F.col("hash") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
+    return store.scrub(docs.select("hash", F.sha2("text", 256).alias("digest")), found)

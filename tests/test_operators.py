@@ -35,6 +35,8 @@ def test_grounding_diamond_cycle_and_empty_inputs(spark):
     recipes = spark.createDataFrame([(i,) for i in range(1, 7)], "recipe long")
     got = {r.node for r in graph.grounded(recipes, inputs, outputs, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {"a", "b", "c", "d", "free"}
+    found = graph.grounded(recipes, inputs, outputs, spark.createDataFrame([("a",)], "node string"))
+    assert dict(pairs(graph.witnesses(found, inputs, outputs))) == {"b": 1, "c": 2, "d": 3, "free": 6}
 
 
 def test_chain_top(spark):
@@ -96,6 +98,20 @@ def test_audit_six_states(spark):
     assert audit.totals(roll).first().asDict() == {"entries": 2, "complete": 1, "verified": 2, "probable": 1, "missing": 2, "claimed": 1, "peer": 1}
 
 
+def test_views_reject_and_snapshot(spark):
+    from cairn.operators import views
+
+    for bad in ({"profile": "odd"}, {"template": "x"}, {"one_per_family": True}):
+        with pytest.raises(ValueError):
+            views.ViewDef("v", **bad)
+    rows = spark.createDataFrame([(1, "a:b", "aaaaaaaa1", 1), (2, "a?b", "bbbbbbbb1", 1), (3, "..", "c", 1)], "entry long, name string, hash string, size long")
+    got = views.evaluate(views.ViewDef("v", "{name}", profile="fat"), rows)
+    assert {r.path for r in got.collect()} == {"_", "a_b", "a_b (bbbbbbbb)"}
+    assert views.snapshot(got).count() == 3
+    with pytest.raises(ValueError):
+        views.snapshot(got.union(got))
+
+
 def test_sync_and_dirty(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "path string, size long")
     b = spark.createDataFrame([("y", 3), ("z", 1)], "path string, size long")

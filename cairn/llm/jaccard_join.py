@@ -264,7 +264,8 @@ def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28,
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("k")).where("k > 1")  # large clusters only
     dealt = members.join(sizes, "cluster", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("chunk", F.pmod(F.hash("node"), "k"))
     dealt = cut(dealt.select(F.col("node").alias("id"), "cluster", "digest", "chunk", "k"))
-    paired = rows.join(dealt.hint("merge"), "id")  # the same plan at every size.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    texts = rows.join(dealt.hint("merge"), "id")  # the same plan at every size
+    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     tasks = paired.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "digest", "text")
     tasks = tasks.repartition(B.part_count(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     links = cut(tree_links(tasks, id_type, percent))

@@ -148,7 +148,9 @@ def judged(docs: DataFrame, columns: list[str], min_words: int = 100, max_diverg
         rows = rows.withColumn("char_distance", F.lit(0.0)).withColumn("word_distance", F.lit(0.0))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     far = F.col("char_distance") + F.col("word_distance") > F.when(F.col("n_words") >= min_words, max_divergence).otherwise(short_divergence)
-    return rows.select("__row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~far).alias("kept"))
+    measures = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~far).alias("kept"))
+    # out of a generator: a filter on a measure is then not pushed down and spelled out through all definitions
+    return rows.select("__row", F.explode_outer(F.array(measures)).alias("__m")).select("__row", "__m.*")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -158,5 +160,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows that the rules keep, with all their own columns."""
-    marked = judged(docs, docs.columns, **options).select("__row", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__kept"))
-    return marked.where(F.col("__kept").isNotNull()).select("__row.*")  # a filter on a generated column is not pushed down
+    return judged(docs, docs.columns, **options).where("kept").select("__row.*")

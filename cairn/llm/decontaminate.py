@@ -52,7 +52,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, mos
     pairs = candidates.join(F.broadcast(held) if bound["n"] <= most_broadcast else held, "item")
     whole = with_shingles(pairs.hint("merge").join(texts, "doc"), "t", "sh")  # the text travels, not its much larger array of hashes
     exact = whole.select("doc", "item", F.size("item_sh").cast("long").alias("q"), F.size(F.array_intersect("sh", "item_sh")).cast("long").alias("n_shared"))
-    found = exact.where(F.col("n_shared") >= F.col("q") * containment - 1e-9).groupBy("doc", "item", "q").agg(F.max("n_shared").alias("n_shared"))
+    # filtered after the aggregation: a filter before it would be pushed down and spell the shingles out for every word
+    best = exact.groupBy("doc", "item", "q").agg(F.max("n_shared").alias("n_shared"))
+    found = best.where(F.col("n_shared") >= F.col("q") * containment - 1e-9)
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("q").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("q")).alias("containment"))
 
 

@@ -40,6 +40,8 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BASE = math.sqrt(2.0)
 KEY_BITS = 48
 N_HASHES = 3
+#: Characters in a block: its pairs are held several times over while they are looked up.
+BLOCK = 8_000_000
 
 
 def unigram_keys(words: np.ndarray) -> np.ndarray:
@@ -142,7 +144,7 @@ def fit_filter(rows: DataFrame, bits: int) -> tuple[Filter, int]:
     small_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.blocks_of(batches, B.word_tokens):
+        for block in B.blocks_of(batches, B.word_tokens, BLOCK):
             left, right, _ = grams(block, np.flatnonzero(np.array(block.extra, dtype=bool)))
             # BEGIN as a context has the number of texts as its count
             keys = np.concatenate([unigram_keys(right), unigram_keys(left[left == BEGIN]), bigram_keys(left, right)])
@@ -206,7 +208,7 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int = 1 <
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, part_bits, segment_bits = shared.value
         own, task = Filter(np.frombuffer(data, dtype=np.uint8), part_bits, segment_bits), TaskContext.get().partitionId()
-        for at, block in enumerate(B.blocks_of(batches, B.word_tokens)):
+        for at, block in enumerate(B.blocks_of(batches, B.word_tokens, BLOCK)):
             scores = log_scores(block, own, total, mu)
             train = np.array(block.extra, dtype=bool)
             picked = [t for t, ok in zip(block.tokens, train.tolist(), strict=True) if ok]

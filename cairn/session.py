@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +35,19 @@ def local_session(name: str = "cairn", cores: str = "8", partitions: int = 8, **
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless the paths they inherit reach it already."""
+    root, context = Path(__file__).resolve().parents[1], spark.sparkContext
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if getattr(context, "_cairn_shipped", False) or any(p and Path(p).resolve() == root for p in paths):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='cairn-')}/cairn", "zip", root, "cairn")
+    context.addPyFile(archive)
+    context._cairn_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -46,6 +46,8 @@ GENERAL = {
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¿¡«»“”„…"
 #: e^-14 for each key: among millions of keys less than a handful pass by chance.
 LEAST_EVIDENCE = 14.0
+#: A key is a voter only if at least this share of its labelled documents is toxic.
+LEAST_SHARE = 0.75
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
@@ -96,7 +98,7 @@ def induced(rows: DataFrame, most: int) -> tuple[list[str], dict[int, int]]:
     evidence = F.col("n1") * F.log(share / base) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     strongest = (
         count_keys(rows.select("label_value", "text"))
-        .where((n >= 3) & (share > F.lit(min(0.9, 4 * base))))
+        .where((n >= 3) & (share > F.lit(LEAST_SHARE)))
         .withColumn("weight", evidence)
         .where(F.col("weight") >= LEAST_EVIDENCE)
         .orderBy(F.desc("weight"), F.desc(F.length("key")), "key")

@@ -3,12 +3,14 @@
 Training. Each block counts its distinct unigrams and bigrams; counts meet by
 hash part, are summed and quantised on a log scale. A count of level q is stored as
 the entries (n-gram, 1) ... (n-gram, q) of a Bloom filter. Each part owns one
-segment of the filter, so segments are built apart and joined end to end. The
-filter has a fixed size (``bits``), which bounds the broadcast; more n-grams raise
-its false-positive rate and never drop any of them.
-
-Scoring. Levels are read by membership probes for levels 1, 2, ... until one
-fails. A token's probability is smoothed with a Dirichlet prior: (c(hw) + mu p(w)) /
+segment of the filter, with a size from its own number of entries
+(``BITS_PER_ENTRY`` or more), so the filter grows with the corpus and its
+false-positive rate does not.
+
+Scoring. A block sends the keys of its n-grams to the parts, training texts' with
+their counts, and gets levels back; a task holds its parts' counts, segments and
+(compressed) blocks' keys, and nothing of the filter is broadcast or collected. Levels are read by membership
+probes for levels 1, 2, ... until one fails. A token's probability is smoothed with a Dirichlet prior: (c(hw) + mu p(w)) /
 (c(h) + mu), where p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) from the filter's counts.
 
 The exact base score needs exact counts of every token: the distinct words of a
@@ -23,8 +25,10 @@ table gives an empty result; without training rows every count is 0.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BASE = math.sqrt(2.0)
 KEY_BITS = 48
 N_HASHES = 3
+#: At least; a segment's bits are a power of two. At 10 with 3 hashes up to 26 % of the bits are set and 1.8 % of absent entries read as present.
+BITS_PER_ENTRY = 10
+#: A block's n-gram keys, and its words' hashes by falling frequency, beside the kinds of blocks.py.
+GRAMS, HASHES = 4, 5
 #: Characters in a block: its pairs are held several times over while they are looked up.
 BLOCK = 8_000_000
 
@@ -71,6 +79,12 @@ def places(keys: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndar
     return [((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(N_HASHES)]
 
 
+def bits_for(counts: np.ndarray) -> int:
+    """Bits of a segment with n-grams of these counts."""
+    entries = int(level_of(counts).sum())
+    return 1 << max(10, (BITS_PER_ENTRY * entries - 1).bit_length())
+
+
 def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     marked = np.zeros(bits, dtype=bool)
     levels = level_of(counts)
@@ -86,7 +100,7 @@ def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
 
 @dataclass
 class Filter:
-    """The whole filter; the top bits of a key choose its segment."""
+    """One or more segments end to end; the top bits of a key choose its segment."""
 
     data: np.ndarray
     part_bits: int
@@ -111,19 +125,21 @@ class Filter:
         return count_of(self.levels(keys))
 
 
-def grams(block: B.Block, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of the chosen documents with BEGIN and END around each: (previous, next, document)."""
-    hashes = B.word_hashes(block)
-    lengths = np.array([len(block.tokens[i]) for i in rows], dtype=np.int64)
-    total = int(lengths.sum()) + len(rows)
-    left, right = np.empty(total, np.uint64), np.empty(total, np.uint64)
-    at = 0
-    for i, n in zip(rows.tolist(), lengths.tolist(), strict=True):
-        words = hashes[block.tokens[i]]
-        left[at], left[at + 1 : at + n + 1] = BEGIN, words
-        right[at : at + n], right[at + n] = words, END
-        at += n + 1
-    return left, right, np.repeat(np.arange(len(rows)), lengths + 1)
+def grams(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' word hashes end to end, with BEGIN and END around each document: (previous, next, document)."""
+    ends = np.cumsum(lengths + 1)
+    right = np.full(len(words) + len(lengths), END, dtype=np.uint64)
+    inner = np.ones(len(right), dtype=bool)
+    inner[ends - 1] = False
+    right[inner] = words
+    left = np.roll(right, 1)
+    left[ends - lengths - 1] = BEGIN
+    return left, right, np.repeat(np.arange(len(lengths)), lengths + 1)
+
+
+def block_keys(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """All keys of a block, sorted and thereby by part, from its distinct words' hashes and its bigrams' keys."""
+    return np.unique(np.concatenate([unigram_keys(np.append(words, [BEGIN, END])), pairs]))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,85 +153,102 @@ def part_bits_for(n_parts: int) -> int:
     return max(0, min(12, math.ceil(math.log2(max(1, n_parts)))))
 
 
-def fit_filter(rows: DataFrame, bits: int) -> tuple[Filter, int]:
-    """The filter and the number of training tokens, from (id, text, train) rows."""
-    part_bits = part_bits_for(B.part_count(rows))
-    n_parts, segment_bits = 1 << part_bits, bits >> part_bits
-    small_batches(rows.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.blocks_of(batches, B.word_tokens, BLOCK):
-            left, right, _ = grams(block, np.flatnonzero(np.array(block.extra, dtype=bool)))
-            # BEGIN as a context has the number of texts as its count
-            keys = np.concatenate([unigram_keys(right), unigram_keys(left[left == BEGIN]), bigram_keys(left, right)])
-            keys, counts = np.unique(keys, return_counts=True)
-            bounds = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS - part_bits))
-            out = [(p, "", B.WORDS, len(right) if p == 0 else 0, B.pack(B.planes(np.diff(keys[a:b], prepend=np.uint64(0))), B.planes(counts[a:b]))) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a or p == 0]
-            yield B.rows_to_batch(out)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        waiting: dict[int, list] = {}
-        tokens: dict[int, int] = {}
-
-        def settle(p: int) -> None:
-            parts = waiting.pop(p, []) + ([held[p]] if p in held else [])
-            held[p] = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-
-        for batch in batches:
-            for p, _, _, n, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fields = B.unpack(payload)
-                waiting.setdefault(p, []).append((np.cumsum(B.from_planes(fields[0]), dtype=np.uint64), B.from_planes(fields[1]).astype(np.int64)))
-                tokens[p] = tokens.get(p, 0) + n
-                if sum(len(k) for k, _ in waiting[p]) > 2_000_000:
-                    settle(p)
-        for p in list(waiting):
-            settle(p)
-        for p, (keys, counts) in held.items():
-            yield B.rows_to_batch([(tokens[p], "", B.STATS, p, segment(keys, counts, segment_bits))])
-
-    counted = rows.mapInArrow(count, B.ROW_SCHEMA)
-    built = B.deal(counted, n_parts, "slot").mapInArrow(build, B.ROW_SCHEMA).select("part", "slot", "payload").collect()  # ``bits`` in all, whatever the corpus
-    data = np.zeros(bits >> 3, dtype=np.uint8)
-    total, size = 0, segment_bits >> 3
-    for part, tokens, payload in built:
-        total += tokens
-        data[part * size : (part + 1) * size] = np.frombuffer(bytes(payload), dtype=np.uint8)
-    return Filter(data, part_bits, segment_bits), total
-
-
-def log_scores(block: B.Block, model: Filter, total: int, mu: float) -> np.ndarray:
-    """log10 probability of every document of a block, its end included."""
-    left, right, doc = grams(block, np.arange(len(block.ids)))
-    keys, where = np.unique(bigram_keys(left, right), return_inverse=True)
-    pair = model.counts(keys)[where]
-    words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    single = model.counts(unigram_keys(words))
-    context, word = single[at[: len(left)]], single[at[len(left) :]]
+def gram_rows(block: B.Block, name: str, part_bits: int) -> Iterator[tuple]:
+    """A block's n-gram keys by part, with their counts in its training documents, and its words' hashes."""
+    hashes = B.word_hashes(block)
+    by_count = np.argsort(-np.bincount(block.flat(), minlength=len(hashes)), kind="stable")  # as in dictionary_rows
+    yield zlib.crc32(name.encode()), name, HASHES, -1, B.pack(hashes[by_count].tobytes())
+    left, right, doc = grams(hashes[block.flat()], block.lengths())
+    pairs = bigram_keys(left, right)
+    keys = block_keys(hashes, pairs)
+    train = np.array(block.extra, dtype=bool)[doc]
+    # BEGIN as a context has the number of texts as its count
+    seen, n = np.unique(np.concatenate([unigram_keys(right[train]), unigram_keys(left[train & (left == BEGIN)]), pairs[train]]), return_counts=True)
+    counts = np.zeros(len(keys), dtype=np.int64)
+    counts[np.searchsorted(keys, seen)] = n
+    bounds = np.searchsorted(keys, np.arange((1 << part_bits) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - part_bits)).tolist()
+    for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if b > a:
+            yield p, name, GRAMS, p, B.pack(B.planes(np.diff(keys[a:b], prepend=np.uint64(0))), B.planes(counts[a:b]))
+
+
+def keys_of(fields: list[bytes]) -> np.ndarray:
+    return np.cumsum(B.from_planes(fields[0]), dtype=np.uint64)
+
+
+class Segments:
+    """A task's segments of the filter: takes all blocks' rows of its parts, then answers them."""
+
+    def __init__(self, bits: int | None):
+        self.bits = bits
+        self.asked: dict[int, list[tuple[str, bytes]]] = {}  # compressed; the parts' share of the n-grams
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.waiting: dict[int, list] = {}
+
+    def add(self, block: str, part: int, payload: bytes) -> None:
+        self.asked.setdefault(part, []).append((block, payload))
+        fields = B.unpack(payload)
+        keys, counts = keys_of(fields), B.from_planes(fields[1]).astype(np.int64)
+        self.waiting.setdefault(part, []).append((keys[counts > 0], counts[counts > 0]))
+        if sum(len(k) for k, _ in self.waiting[part]) > 2_000_000:
+            self.settle(part)
+
+    def settle(self, part: int) -> None:
+        parts = self.waiting.pop(part, []) + ([self.held[part]] if part in self.held else [])
+        self.held[part] = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+
+    def answers(self) -> Iterator[tuple]:
+        for part, asked in self.asked.items():
+            if part in self.waiting:
+                self.settle(part)
+            keys, counts = self.held.pop(part)
+            bits = self.bits or bits_for(counts)
+            own = Filter(np.frombuffer(segment(keys, counts, bits), dtype=np.uint8), 0, bits)
+            del keys, counts
+            for block, payload in asked:
+                yield part, block, GRAMS, part, B.pack(B.planes(own.levels(keys_of(B.unpack(payload)))))
+
+
+def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels: np.ndarray, total: int, mu: float) -> np.ndarray:
+    """log10 probability of every document of a block, its end included, from the levels of ``block_keys``."""
+    left, right, doc = grams(words[flat], lengths)
+    pairs, where = np.unique(bigram_keys(left, right), return_inverse=True)
+    keys, counts = block_keys(words, pairs), count_of(levels)
+    pair = counts[np.searchsorted(keys, pairs)][where]
+    single = counts[np.searchsorted(keys, unigram_keys(np.append(words, [BEGIN, END])))]
+    at = np.full(len(right), len(words) + 1)  # END
+    ends = np.cumsum(lengths + 1)
+    inner = np.ones(len(right), dtype=bool)
+    inner[ends - 1] = False
+    at[inner] = flat
+    word, context = single[at], single[np.roll(at, 1)]
+    context[ends - lengths - 1] = single[len(words)]  # BEGIN
     unseen = (word + 0.5) / (total + 1.0)
     pair = np.minimum(pair, np.minimum(context, word))  # a pair is no more frequent than its parts
-    return np.bincount(doc, weights=np.log10((pair + mu * unseen) / (context + mu)), minlength=len(block.ids))
+    return np.bincount(doc, weights=np.log10((pair + mu * unseen) / (context + mu)), minlength=len(lengths))
 
 
-def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int = 1 << 29, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document."""
+def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | None = None, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
+
+    ``bits`` sets the size of the whole filter, which otherwise follows from its entries.
+    """
     spark = docs.sparkSession
     rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col), (~fold_is(id_col, *fold)).alias("train"))
-    model, total = fit_filter(rows, bits)
-    shared = spark.sparkContext.broadcast((model.data.tobytes(), model.part_bits, model.segment_bits))  # bits / 8 bytes
     n_parts = B.part_count(docs)
+    part_bits = part_bits_for(n_parts)
+    segment_bits = bits and max(8, bits >> part_bits)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, part_bits, segment_bits = shared.value
-        own, task = Filter(np.frombuffer(data, dtype=np.uint8), part_bits, segment_bits), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for at, block in enumerate(B.blocks_of(batches, B.word_tokens, BLOCK)):
-            scores = log_scores(block, own, total, mu)
+            name = f"{task}-{at}-{block.seal:08x}"
             train = np.array(block.extra, dtype=bool)
             picked = [t for t, ok in zip(block.tokens, train.tolist(), strict=True) if ok]
             counts = np.bincount(np.concatenate(picked), minlength=len(block.words)) if picked else np.zeros(len(block.words), np.int64)
-            block.extra = list(zip(train.tolist(), scores.tolist(), strict=True))
+            block.extra = train.tolist()
             out: list[tuple] = [(0, "", B.STATS, 0, B.pack(np.array([counts.sum(), train.sum()], dtype="<i8").tobytes()))]
-            for row in B.dictionary_rows(block, f"{task}-{at}-{block.seal:08x}", n_parts, bytes, word_extra=counts):
+            for row in chain(gram_rows(block, name, part_bits), B.dictionary_rows(block, name, n_parts, bytes, word_extra=counts)):
                 out.append(row)
                 if len(out) >= 64:
                     yield B.rows_to_batch(out)
@@ -226,9 +259,13 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int = 1 <
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[bytes, int] = {}
         asked: list[tuple[str, int, bytes]] = []  # compressed; a hash part's share of the words
+        segments = Segments(segment_bits)
         for batch in batches:
             out = []
             for slot, block, kind, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == GRAMS:
+                    segments.add(block, part, payload)
+                    continue
                 if kind != B.WORDS:
                     out.append((slot, block, kind, part, payload))
                     continue
@@ -241,6 +278,8 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int = 1 <
         for block, part, payload in asked:
             words = B.words_of(B.unpack(payload))
             yield B.rows_to_batch([(part, block, B.WORDS, part, B.pack(B.planes(np.fromiter(map(totals.__getitem__, words), np.int64, len(words)))))])
+        for row in segments.answers():
+            yield B.rows_to_batch([row])
         yield B.rows_to_batch([(0, "", B.STATS, 1, B.pack(np.array([sum(n > 0 for n in totals.values()), 0], dtype="<i8").tobytes()))])
 
     def totals_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,29 +296,40 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int = 1 <
     floor = math.log10(n_train + 0.5 * (n_words + 1))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, part_of, answers, table = None, None, {}, None
+        name, part_of, answers, levels, docs, words = None, None, {}, {}, [], None
         for batch in batches:
             for _, block, kind, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fields = B.unpack(payload)
                 if block != name:
                     if kind != B.HEADER:
                         raise RuntimeError(f"block {block} came without its header; its map task was not repeatable")
-                    name, answers, table = block, {}, None
+                    if name is not None:
+                        yield documents(part_of, answers, levels, docs, words)
+                    name, answers, levels, docs, words = block, {}, {}, [], None
+                fields = B.unpack(payload)
+                if kind == B.HEADER:
                     part_of = B.from_planes(fields[0]).astype(np.int64)
                 elif kind == B.WORDS:
                     answers[part] = B.from_planes(fields[0]).astype(np.int64)
+                elif kind == B.DOCS:
+                    docs.append(fields)
+                elif kind == GRAMS:
+                    levels[part] = B.from_planes(fields[0]).astype(np.int64)
                 else:
-                    if table is None:
-                        order = np.argsort(part_of, kind="stable")
-                        table = np.zeros(len(order), dtype=np.int64)
-                        if len(order):
-                            table[order] = np.concatenate([answers[p] for p in sorted(answers)])
-                    yield documents(fields, table)
-
-    def documents(fields: list[bytes], table: np.ndarray) -> pa.RecordBatch:
-        keys, lengths = B.ids_from_bytes(fields[0]), B.from_planes(fields[1]).astype(np.int64)
-        counts = table[B.from_planes(fields[2]).astype(np.int64)] if lengths.sum() else np.zeros(0, np.int64)
-        train, scores = np.frombuffer(fields[3], dtype="<f8").reshape(-1, 2).T
+                    words = np.frombuffer(fields[0], dtype=np.uint64)
+        if name is not None:
+            yield documents(part_of, answers, levels, docs, words)
+
+    def documents(part_of: np.ndarray, answers: dict, levels: dict, docs: list, words: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part_of, kind="stable")
+        table = np.zeros(len(order), dtype=np.int64)
+        if len(order):
+            table[order] = np.concatenate([answers[p] for p in sorted(answers)])
+        keys = pa.concat_arrays([B.ids_from_bytes(fields[0]) for fields in docs])
+        lengths = np.concatenate([B.from_planes(fields[1]) for fields in docs]).astype(np.int64)
+        flat = np.concatenate([B.from_planes(fields[2]) for fields in docs]).astype(np.int64)
+        train = np.concatenate([np.frombuffer(fields[3], dtype="<f8") for fields in docs])
+        scores = log_scores(words, flat, lengths, np.concatenate([levels[p] for p in sorted(levels)]), n_train, mu)
+        counts = table[flat]
         doc = np.repeat(np.arange(len(lengths)), lengths)
         base = np.bincount(doc, weights=np.log10(counts + 0.5) - floor, minlength=len(lengths)) + (math.log10(texts + 0.5) - floor)
         known = np.bincount(doc, weights=counts > 0, minlength=len(lengths)).astype(np.int64) + (texts > 0)

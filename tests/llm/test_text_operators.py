@@ -95,6 +95,51 @@ def test_bloom_levels_never_fall_short():
     assert (model.levels(other) > 0).mean() < 0.2
 
 
+def test_lm_scores_and_a_filter_that_grows(spark, monkeypatch):
+    def no_broadcast(*_):
+        raise AssertionError("the filter must not be broadcast")
+
+    rng = random.Random(3)
+    texts = dict(enumerate([*ODD, *(" ".join(rng.choices(WORDS, k=80)) for _ in range(60))]))
+    tokens, held = lm_reference(texts)
+    singles, pairs = Counter(), Counter()
+    for ts in [*(ts for i, ts in tokens.items() if not held[i]), [b"no", b"id", None], *([] if held[0] else [tokens[0]])]:
+        singles.update(ts)
+        singles[0] += 1  # the texts' beginnings
+        pairs.update(zip([0, *ts], ts))
+    rough = lambda n: float(ngram_lm.count_of(ngram_lm.level_of(np.array([n])))[0]) if n else 0.0
+    n, mu = sum(singles.values()) - singles[0], 1000.0
+
+    def want(ts):
+        out = 0.0
+        for h, w in zip([0, *ts], ts):
+            c_h, c_w = rough(singles[h]), rough(singles[w])
+            out += math.log10((min(rough(pairs[h, w]), c_h, c_w) + mu * (c_w + 0.5) / (n + 1.0)) / (c_h + mu))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", no_broadcast)
+    # a wide filter has no false positives here; at the derived size, one can change a frequent word's level
+    for bits, most in ((1 << 26, 1e-6), (None, 0.1)):
+        got = ngram_lm.score_texts(frame(spark, list(texts.values())), bits=bits).where("doc_id IS NOT NULL").collect()
+        assert len(got) == len(texts) + 1
+        off = [abs(r.score - want(tokens[r.doc_id])) / len(tokens[r.doc_id]) for r in got]
+        assert max(off) < most
+
+
+@pytest.mark.parametrize("n", [1, 1000, 300_000])
+def test_lm_segments_grow_with_their_entries(n):
+    rng = np.random.default_rng(n)
+    keys, counts = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64)), None
+    counts = rng.integers(1, 40, len(keys))
+    bits = ngram_lm.bits_for(counts)
+    entries = int(ngram_lm.level_of(counts).sum())
+    assert bits >= ngram_lm.BITS_PER_ENTRY * entries and (bits < 20 * entries or bits == 1024)
+    data = np.frombuffer(ngram_lm.segment(keys, counts, bits), dtype=np.uint8)
+    assert np.unpackbits(data).mean() < 0.28
+    other = np.setdiff1d(rng.integers(0, 1 << 48, 20_000).astype(np.uint64), keys)
+    assert (ngram_lm.Filter(data, 0, bits).levels(other) > 0).mean() < 0.025
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(w, w[1:], w[2:]))

@@ -526,15 +526,16 @@ def cluster_layout(spark, sf):
 # ---------------------------------------------------------------- merge modes: suppliers as machines, their parts as claims
 
 _MACHINES = "SELECT s_suppkey AS machine, CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey > 4 THEN s_suppkey - s_suppkey % 4 END AS parent, s_suppkey % 9 = 0 AS is_device, s_suppkey % 13 = 0 AS is_bios FROM supplier"
-_MCLAIMS = "SELECT l_partkey * 10 + l_linenumber AS claim, l_suppkey AS machine, 'f' || (l_partkey % 50) AS file, CAST(l_partkey % 200 AS VARCHAR) AS hash, CASE WHEN l_linenumber % 3 = 0 THEN 'm' END AS merge_name FROM lineitem WHERE l_orderkey % 20 = 1"
+_ALL_MCLAIMS = "SELECT l_partkey * 10 + l_linenumber AS claim, l_suppkey AS machine, 'f' || (l_partkey % 50) AS file, CAST(l_partkey % 200 AS VARCHAR) AS hash, CASE WHEN l_linenumber % 3 = 0 THEN 'm' END AS merge_name FROM lineitem"
+_MCLAIMS = f"{_ALL_MCLAIMS} WHERE l_orderkey % 20 = 1"
 _DEVICES = "SELECT s_suppkey AS machine, s_suppkey * 3 % 90 + 9 - (s_suppkey * 3 % 90) % 9 AS device FROM supplier WHERE s_suppkey % 5 < 2"
 
 
-def _machine_set(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _machine_set(spark: SparkSession, sf: str, claims: str = _MCLAIMS) -> tuple[DataFrame, DataFrame, DataFrame]:
     t(spark, sf, "supplier").createOrReplaceTempView("cairn_supplier")
     t(spark, sf, "lineitem").createOrReplaceTempView("cairn_lineitem")
     run = lambda s: spark.sql(s.replace("FROM supplier", "FROM cairn_supplier").replace("FROM lineitem", "FROM cairn_lineitem").replace("VARCHAR", "STRING"))
-    return run(_MACHINES), run(_MCLAIMS), run(_DEVICES)
+    return run(_MACHINES), run(claims), run(_DEVICES)
 
 
 @query(f"WITH RECURSIVE m AS ({_MACHINES}), c AS ({_MCLAIMS}), d AS ({_DEVICES}), r(root, node) AS (SELECT machine, machine FROM m WHERE NOT is_device UNION SELECT root, device FROM r JOIN d ON node = machine) SELECT root AS set, file, min(claim) AS claim FROM r JOIN c ON node = machine GROUP BY root, file, hash")
@@ -552,6 +553,21 @@ def render_merged(spark, sf):
     return layout.render_sets(*_machine_set(spark, sf), "merged")
 
 
+@query(ORACLES["render_non_merged"].replace(_MCLAIMS, _ALL_MCLAIMS))
+def render_non_merged_all(spark, sf):
+    return layout.render_sets(*_machine_set(spark, sf, _ALL_MCLAIMS), "non-merged")
+
+
+@query(ORACLES["render_split"].replace(_MCLAIMS, _ALL_MCLAIMS))
+def render_split_all(spark, sf):
+    return layout.render_sets(*_machine_set(spark, sf, _ALL_MCLAIMS), "split")
+
+
+@query(ORACLES["render_merged"].replace(_MCLAIMS, _ALL_MCLAIMS))
+def render_merged_all(spark, sf):
+    return layout.render_sets(*_machine_set(spark, sf, _ALL_MCLAIMS), "merged")
+
+
 # ---------------------------------------------------------------- views, routes, evidence
 
 _CANDIDATES = "SELECT p_partkey AS entry, p_name || CASE WHEN p_partkey % 9 = 0 THEN '/' ELSE '' END AS name, sha256(CAST(p_partkey AS VARCHAR)) AS hash, p_size AS size, p_brand || CAST(p_partkey % 40 AS VARCHAR) AS family, CASE WHEN p_type LIKE 'S%' THEN 0 ELSE 1 END AS rank, -p_size AS rev FROM part"

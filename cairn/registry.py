@@ -341,8 +341,8 @@ def content_fingerprints(spark, sf):
 _EDGES = "SELECT DISTINCT 2 * o_custkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <= 3 AND l_linenumber = 1"
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    line = t(spark, sf, "lineitem").where("l_quantity <= 3 AND l_linenumber = 1").select("l_orderkey", "l_partkey")
+def _edges(spark: SparkSession, sf: str, chosen: str = "l_quantity <= 3 AND l_linenumber = 1") -> DataFrame:
+    line = t(spark, sf, "lineitem").where(chosen).select("l_orderkey", "l_partkey")
     return line.join(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
@@ -368,12 +368,35 @@ claimed AS (SELECT DISTINCT component, c_nationkey AS source FROM comp JOIN cust
 SELECT source, count(*) AS blobs, CAST(sum(p_size) AS BIGINT) AS bytes FROM comp JOIN claimed USING (component) JOIN part ON node = 2 * p_partkey + 1 GROUP BY source""")
 def attribution(spark, sf):
     """Parts reachable from each nation's customers; a part counts in every nation it serves."""
-    comp = graph.connected_components(_edges(spark, sf))
+    return _attributed(spark, sf, graph.connected_components(_edges(spark, sf)))
+
+
+def _attributed(spark: SparkSession, sf: str, comp: DataFrame) -> DataFrame:
     claimed = comp.join(t(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("node"), F.col("c_nationkey").alias("source")), "node").select("component", "source").distinct()
     parts = t(spark, sf, "part").select((F.col("p_partkey") * 2 + 1).alias("node"), "p_size")
     return comp.join(parts, "node").join(claimed, "component").groupBy("source").agg(F.count(F.lit(1)).alias("blobs"), F.sum("p_size").alias("bytes"))
 
 
+@query()
+def components_all(spark, sf):
+    """Components over the edges of all lineitems."""
+    return graph.connected_components(_edges(spark, sf, "true"))
+
+
+@query()
+def downstream_all(spark, sf):
+    """What every node leads to over the edges of all lineitems."""
+    e = _edges(spark, sf, "true")
+    hops = e.where("src % 4 = 0").union(e.where("src % 4 <> 0").select("dst", "src"))
+    return graph.closure(hops, hops.select("src"))
+
+
+@query()
+def attribution_all(spark, sf):
+    """Attribution over the edges of all lineitems."""
+    return _attributed(spark, sf, graph.connected_components(_edges(spark, sf, "true")))
+
+
 def _recipes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     line = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("recipe"), F.col("l_partkey").alias("node")).distinct()
     outputs = line.groupBy("recipe").agg(F.max("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")

@@ -1,13 +1,13 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
 Items and documents are sets of distinct five-word shingles (a text of fewer words
 is one shingle), hashed to 64 bits. A document leaks an item when it holds at
-least ``containment`` of the item's shingles. Items are partitioned by size; an
+least ``containment`` of the item's shingles. An
 item of q shingles is indexed by its bottom-m MinHash sketch, its m smallest
 hashes, with m = q - ceil(containment q) + 1: a document that misses at most q -
 ceil(containment q) of the shingles holds one of any m of them, so the search loses
-nothing whatever the lengths. Per size class the largest sketch hash bounds what
-a document has to look up; larger documents' other hashes are dropped before they are exploded.
+nothing whatever the lengths. Sizes are not partitioned: the largest sketch hash of
+all items bounds what a document has to look up; other hashes are dropped before they are exploded.
 Candidates are verified by exact shingle containment on the whole text.
 
 The index is broadcast after its rows have been counted (``most_broadcast``),

@@ -83,7 +83,7 @@ class Block:
 
     def __init__(self):
         self.words, self.ids, self.tokens, self.chars, self.extra = Numbers(), [], [], 0, []
-        self.seal = 0
+        self.seal, self.id_type = 0, pa.int64()
 
     def add(self, key, text: str, tokens: np.ndarray, extra=None) -> None:
         self.ids.append(key)
@@ -109,6 +109,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], tokens: Callable[[Block, str],
     """Cut a task's (id, text, ...) rows into blocks; null texts count as empty. A third column is kept per document."""
     block = new()
     for batch in batches:
+        block.id_type = batch.schema.field(0).type
         columns = [c.to_pylist() for c in batch.columns]
         more = columns[2] if len(columns) > 2 else [None] * batch.num_rows
         for key, text, extra in zip(columns[0], columns[1], more, strict=True):
@@ -116,6 +117,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], tokens: Callable[[Block, str],
             if block.ids and block.chars + len(text) > most:
                 yield block
                 block = new()
+                block.id_type = batch.schema.field(0).type
             block.add(key, text, tokens(block, text), extra)
     if block.ids:
         yield block
@@ -136,9 +138,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def ids_to_bytes(ids: list) -> bytes:
+def ids_to_bytes(ids: list, id_type: pa.DataType) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array(ids)], names=["id"])
+    batch = pa.record_batch([pa.array(ids, id_type)], names=["id"])
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -179,7 +181,7 @@ def dictionary_rows(block: Block, name: str, n_parts: int, encode: Callable[[obj
         base = ends[first] - lengths[first]
         last = max(first + 1, int(np.searchsorted(ends, base + doc_tokens, side="right")))
         extra = [np.array(block.extra[first:last], dtype="<f8").tobytes()] if block.extra[first] is not None else []
-        yield zlib.crc32(name.encode()), name, DOCS, first, pack(ids_to_bytes(block.ids[first:last]), planes(lengths[first:last]), planes(ranks[base : ends[last - 1]]), *extra)
+        yield zlib.crc32(name.encode()), name, DOCS, first, pack(ids_to_bytes(block.ids[first:last], block.id_type), planes(lengths[first:last]), planes(ranks[base : ends[last - 1]]), *extra)
         first = last
 
 
@@ -198,6 +200,6 @@ def part_count(df: DataFrame) -> int:
 
 def deal(rows: DataFrame, n_parts: int, key: str, *order: str) -> DataFrame:
     """Hash-partition block rows and, where asked, sort them within a task."""
-    small_batches(rows.sparkSession, 16)
+    small_batches(rows.sparkSession)
     out = rows.repartition(n_parts, F.col(key))
     return out.sortWithinPartitions(*order) if order else out

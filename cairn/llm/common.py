@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cairn.session import cut
 
 #: The white space of the word definition, as bytes.split() has it too.
 SPACE_CLASS = r"[ \t-\r]"
@@ -17,13 +20,18 @@ def fold_is(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches handed to Python: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+#: Bytes of an Arrow batch handed to Python, at most, unless one row is larger: texts can be very long.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches by bytes: one value for all operators, and a smaller one that the session sets is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """mapInArrow with a batch-to-batch function."""
     small_batches(df.sparkSession)
 
@@ -35,6 +43,16 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str, most_broadcast: int = 500_000) -> DataFrame:
+    """Rows whose ``key`` is not among ``keys`` (one column); rows with a null key stay.
+
+    A list of up to ``most_broadcast`` keys is broadcast, so that the rows are not shuffled.
+    """
+    listed = cut(keys.toDF(key).where(F.col(f"`{key}`").isNotNull()).distinct())
+    n = listed.count()
+    return rows.join(F.broadcast(listed) if n <= most_broadcast else listed, key, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)) if n else rows
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -13,16 +13,21 @@
    hold the OR of token bitmaps and size ranges, and a dual traversal prunes node
    pairs by their greatest possible overlap and compares the rest exactly. Pairs
    that are connected already are skipped, so a group of n near copies costs
-   about n comparisons. A cluster with over ``chunk`` shingles is dealt into chunks and
-   joined chunk pair by chunk pair.
-4. The links' components, labelled by the smallest id, are the result.
+   about n comparisons.
+4. A cluster with over ``chunk`` shingles is worked off in rounds. First its parts of
+   ``chunk`` shingles get trees of their own, so a large group of copies is spread over many
+   tasks and shrinks to one component a part. Then one set of each component meets
+   the others of its cluster. Only clusters that are not yet one component come to the last round,
+   part by part with all other parts (of ``large`` shingles), where known components are skipped.
+5. The links' components, labelled by the smallest id, are the result.
 
-Nothing is capped or sampled. Texts travel once, and only those in clusters meet.
+Nothing is capped or sampled. Only texts in clusters meet.
 
 Null texts have no shingles and link with nothing, like texts without words. Rows
-with a null id get a null component and link with nothing; rows that share an id
-are one document; equal texts are linked; other columns are ignored; an empty
-table gives an empty table.
+with a null id get a null component and link with nothing. Rows that share an id
+are one document: each row has its own n_shingles, all have one component, and what any of
+them links to is linked. Equal texts are linked; other columns are ignored; ids may be of any type that has an
+order; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -168,7 +173,7 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
                 if p > 0:
                     keys.append(shared_ones[:p] >> np.uint64(64 - KEY_BITS))
                     nodes.append(np.full(len(keys[-1]), i, dtype=np.int64))
-            out = [(0, str(first), B.DOCS, 0, B.pack(B.ids_to_bytes(block.ids), B.planes(sizes), b"".join(digests)))]
+            out = [(0, str(first), B.DOCS, 0, B.pack(B.ids_to_bytes(block.ids, block.id_type), B.planes(sizes), b"".join(digests)))]
             if keys:
                 key, node = np.concatenate(keys), np.concatenate(nodes)
                 order = np.argsort(key, kind="stable")
@@ -202,19 +207,19 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 200_000, 0]), pa.array(pairs[a : a + 200_000, 1])], names=["u", "v"])
 
     table = written(rows.mapInArrow(sketch, B.ROW_SCHEMA))
-    small_batches(rows.sparkSession, 16)
     docs = table.where(F.col("kind") == B.DOCS).select("block", "payload").mapInArrow(documents, f"id {id_type}, node long, n_shingles long, digest binary")
     edges = B.deal(table.where(F.col("kind") == B.WORDS), n_parts, "slot").mapInArrow(meet, "u long, v long")
     return docs, edges
 
 
 def tree_links(tasks: DataFrame, id_type: str, percent: int) -> DataFrame:
-    """(src, dst) ids that link, from (cluster, i, j, chunk, id, digest, text) rows dealt and sorted by cluster and chunk pair."""
+    """(src, dst) ids that link, from (cluster, i, j, chunk, id, digest, known, text) rows dealt and sorted by cluster and chunk pair."""
     small_batches(tasks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sides, texts = None, [], [], B.Block()
         found: list[tuple] = []
+        arrow = pa.null()
 
         def links() -> list[tuple]:
             if len(ids) < 2:
@@ -222,54 +227,96 @@ def tree_links(tasks: DataFrame, id_type: str, percent: int) -> DataFrame:
             sets = sets_of(texts)
             kept = [x for x in range(len(ids)) if xxhash.xxh3_128_digest(sets[x].tobytes()) == sides[x][1]]  # rows that share an id may hold other texts
             left, right = [x for x in kept if sides[x][0] == key[1]], [x for x in kept if sides[x][0] != key[1]]
-            return [(ids[a], ids[b]) for a, b in spanning_links(sets, left, right, percent)]
+            return [(ids[a], ids[b]) for a, b in spanning_links(sets, left, right, percent, [known for _, _, known in sides])]
+
+        def pairs() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], arrow), pa.array([b for _, b in found], arrow)], names=["src", "dst"])
 
         for batch in batches:
-            for cluster, i, j, chunk, one, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            arrow = batch.schema.field("id").type
+            for cluster, i, j, chunk, one, digest, known, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (cluster, i, j):
                     found += links()
                     key, ids, sides, texts = (cluster, i, j), [], [], B.Block()
                 ids.append(one)
-                sides.append((chunk, digest))
+                sides.append((chunk, digest, known))
                 texts.add(None, "", B.word_tokens(texts, text or ""))
             if len(found) > 10_000:
-                yield pairs(found)
+                yield pairs()
                 found = []
         found += links()
         if found:
-            yield pairs(found)
+            yield pairs()
 
-    kind = tasks.schema["id"].dataType
-    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
+    return tasks.mapInArrow(run, f"src {id_type}, dst {id_type}")
 
-    def pairs(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], arrow), pa.array([b for _, b in found], arrow)], names=["src", "dst"])
 
-    return tasks.mapInArrow(run, f"src {id_type}, dst {id_type}")
+def with_texts(rows: DataFrame, chosen: DataFrame, most_broadcast: int) -> DataFrame:
+    """Rows of ``chosen`` (with their id) and the texts of these ids; a short list is broadcast, so that other texts stay where they are."""
+    return rows.join(F.broadcast(chosen) if chosen.count() <= most_broadcast else chosen, "id")
+
+
+def parts_of(members: DataFrame, shingles: int) -> DataFrame:
+    """Members (id, cluster, n, ...) with k, the number of parts of about ``shingles`` of their cluster, and their own part."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / shingles).cast("int").alias("k"))
+    return members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.hash("id", "digest"), "k"))
+
+
+def part_links(rows: DataFrame, dealt: DataFrame, id_type: str, percent: int, most_broadcast: int, pairwise: bool) -> DataFrame:
+    """Links within each part of (id, cluster, digest, known, chunk, k) members; ``pairwise``: between the parts of a cluster too."""
+    texts = with_texts(rows, dealt.select("id", "cluster", "digest", "known", "chunk", "k"), most_broadcast)
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)) if pairwise else F.col("chunk")
+    tasks = texts.withColumn("other", other).select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "digest", "known", "text")
+    tasks = tasks.repartition(B.part_count(rows), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    return cut(tree_links(tasks, id_type, percent))
+
+
+def cluster_links(rows: DataFrame, members: DataFrame, id_type: str, percent: int, chunk: int, large: int, most_broadcast: int) -> DataFrame:
+    """(src, dst): links that connect exactly what chains of similar sets connect in each cluster of members (id, cluster, n, digest)."""
+    unknown = F.concat(F.hex("digest"), F.col("id").cast("string")).alias("known")  # each set is a component of its own
+    dealt = cut(parts_of(members, chunk).select("*", unknown))
+    links = part_links(rows, dealt, id_type, percent, most_broadcast, False)
+    split = dealt.where("k > 1")
+    if split.isEmpty():
+        return links
+
+    def known_now(links: DataFrame) -> DataFrame:
+        """Members of split clusters with their component so far."""
+        label = connected_components(links).select(F.col("node").alias("id"), F.col("component").cast("string").alias("label"))
+        return cut(split.drop("known", "chunk", "k").join(label, "id", "left").withColumn("known", F.coalesce("label", F.col("id").cast("string"))).drop("label"))
+
+    now = known_now(links)
+    heads = now.groupBy("cluster", "known").agg(F.min(F.struct("id", "digest", "n")).alias("h")).select("cluster", "known", "h.*")
+    heads = parts_of(heads, large).where("k = 1")
+    links = cut(links.union(part_links(rows, cut(heads), id_type, percent, most_broadcast, False)))
+    now = known_now(links)
+    unfinished = now.groupBy("cluster").agg((F.min("known") < F.max("known")).alias("open")).where("open").select("cluster")
+    rest = cut(parts_of(now.join(unfinished, "cluster"), large))
+    if rest.isEmpty():
+        return links
+    return links.union(part_links(rows, rest, id_type, percent, most_broadcast, True))
 
 
-def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28, chunk: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28, chunk: int = 250_000, large: int = 4_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
     id_type = type_of(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hot = shared_shingles(rows, hot_bits)
     own, edges = sketched(rows, hot, percent, id_type)
     own = cut(own)
-    classes = cut(own.where("id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")))
-    by_node = cut(own.where("id IS NOT NULL AND n_shingles > 0").join(classes, "digest").select("node", "rep"))
+    real = own.where("id IS NOT NULL")
+    classes = cut(real.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")))
+    by_node = cut(real.join(classes, "digest", "left").select("id", "node", "rep"))
+    # documents whose rows hold different texts: their classes are one, under the document's own id
+    several = cut(by_node.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("rep").alias("texts")).where("least < most OR (texts > 0 AND texts < n_rows)").select("id"))
     a, b = by_node.select(F.col("node").alias("u"), F.col("rep").alias("src")), by_node.select(F.col("node").alias("v"), F.col("rep").alias("dst"))
     candidates = edges.join(a, "u").join(b, "v").where("src <> dst").select("src", "dst").distinct()
     clusters = connected_components(candidates).withColumnRenamed("component", "cluster")
-    members = clusters.join(classes.select(F.col("rep").alias("node"), "n", "digest"), "node")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("k")).where("k > 1")  # large clusters only
-    dealt = members.join(sizes, "cluster", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("chunk", F.pmod(F.hash("node"), "k"))
-    dealt = cut(dealt.select(F.col("node").alias("id"), "cluster", "digest", "chunk", "k"))
-    texts = rows.join(dealt.hint("merge"), "id")  # the same plan at every size
-    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    tasks = paired.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "digest", "text")
-    tasks = tasks.repartition(B.part_count(docs), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    links = cut(tree_links(tasks, id_type, percent))
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
+    members = clusters.join(classes.select(F.col("rep").alias("node"), "n", "digest"), "node").withColumnRenamed("node", "id")
+    links = cluster_links(rows, members, id_type, percent, chunk, large, most_broadcast)
+    of_several = by_node.where("rep IS NOT NULL").join(several, "id").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    found = connected_components(links.union(of_several)).select(F.col("node").alias("rep"), "component")
     labelled = cut(classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = own.join(labelled, "digest", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    of_id = cut(found.join(several, F.col("rep") == F.col("id")).select("id", F.col("component").alias("of_id")))  # for their rows without words
+    out = own.join(labelled, "digest", "left").join(of_id, "id", "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "of_id", "id")).alias("component_id"))

@@ -49,8 +49,11 @@ def build(sets: list[np.ndarray], items: list[int], width: int) -> Node | None:
 class Join:
     """Links sets with 100 |x & y| >= percent |x | y|; pairs already in one component are not compared again."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int = 75):
-        self.sets, self.percent, self.parent, self.links = sets, percent, list(range(len(sets))), []
+    def __init__(self, sets: list[np.ndarray], percent: int = 75, groups: list | None = None):
+        """``groups``: what is known of the sets' components; sets of equal value are connected already."""
+        self.sets, self.percent, self.links = sets, percent, []
+        first: dict = {}
+        self.parent = list(range(len(sets))) if groups is None else [first.setdefault(g, i) for i, g in enumerate(groups)]
         self.compared = 0
 
     def find(self, i: int) -> int:
@@ -108,11 +111,11 @@ class Join:
             self.parent[max(self.find(i), self.find(j))] = min(self.find(i), self.find(j))
 
 
-def spanning_links(sets: list[np.ndarray], left: list[int], right: list[int] | None = None, percent: int = 75) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], left: list[int], right: list[int] | None = None, percent: int = 75, groups: list | None = None) -> list[tuple[int, int]]:
     """Links that connect exactly the sets that chains of similar pairs connect; ``right``: also between two groups."""
     largest = max((len(s) for s in sets), default=1)
     width = 1 << max(9, min(17, (4 * largest - 1).bit_length()))
-    join = Join(sets, percent)
+    join = Join(sets, percent, groups)
     a, b = build(sets, left, width), build(sets, right, width) if right else None
     join.within(a)
     join.within(b)

@@ -1,17 +1,26 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Training. Each block counts its distinct unigrams and bigrams; counts meet by
-hash part, are summed and quantised on a log scale. A count of level q is stored as
-the entries (n-gram, 1) ... (n-gram, q) of a Bloom filter. Each part owns one
-segment of the filter, with a size from its own number of entries
-(``BITS_PER_ENTRY`` or more), so the filter grows with the corpus and its
-false-positive rate does not.
+hash part, are summed and quantised on a log scale (steps of 5 %, exact up to 20). A
+count of level q is stored as the entries (n-gram, 1) ... (n-gram, q) of a Bloom
+filter. Each part owns one segment of the filter. Its hashes are so many that an
+absent pair reads as present with a probability of about mu / (10 V) and 1 / 256 at most, and its bits follow from
+the entries counted, so the filter grows with the corpus and its errors do not.
 
 Scoring. A block sends the keys of its n-grams to the parts, training texts' with
 their counts, and gets levels back; a task holds its parts' counts, segments and
 (compressed) blocks' keys, and nothing of the filter is broadcast or collected. Levels are read by membership
-probes for levels 1, 2, ... until one fails. A token's probability is smoothed with a Dirichlet prior: (c(hw) + mu p(w)) /
-(c(h) + mu), where p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) from the filter's counts.
+probes for levels 1, 2, ... until one fails; keys that many blocks ask for are probed once a segment.
+
+The model. With counts c as read, p(w) = (c(w) + 0.5) / (M + 0.5 (V + 1)), where V is the number
+of distinct training tokens (and one class stands for all others) and M the sum of their
+quantised counts, so p sums to 1. A token w after h (the beginning has a symbol of its own) has
+
+    (c(hw) + mu p(w)) / (c(h) + mu + e (V + 1)),     p(w) if c(h) = 0,
+
+where e is the count that an absent pair reads as on average, by the fill of the
+segments. The sum over all w is 1 but for quantisation of c(hw) against c(h) and the
+spread of false positives: a test holds it to 1 %.
 
 The exact base score needs exact counts of every token: the distinct words of a
 block are dealt by hash, summed over blocks and sent back, as for BPE encoding;
@@ -41,11 +50,12 @@ from cairn.llm.common import fold_is, small_batches, type_of
 from cairn.session import written
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-BASE = math.sqrt(2.0)
+BASE = 1.05
 KEY_BITS = 48
-N_HASHES = 3
-#: At least; a segment's bits are a power of two. At 10 with 3 hashes up to 26 % of the bits are set and 1.8 % of absent entries read as present.
-BITS_PER_ENTRY = 10
+#: Bits per entry and hash: half of the bits are then set, and an absent entry is found with a probability of 2 ** -hashes.
+BITS_PER_HASH = 1.45
+#: False positives may add this share of ``mu`` to a context's total.
+FALSE_SHARE = 0.1
 #: A block's n-gram keys, and its words' hashes by falling frequency, beside the kinds of blocks.py.
 GRAMS, HASHES = 4, 5
 #: Characters in a block: its pairs are held several times over while they are looked up.
@@ -60,69 +70,114 @@ def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return B.mix(left * np.uint64(0x9E3779B97F4A7C15) + B.mix(right)) >> np.uint64(64 - KEY_BITS)
 
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, one more for each factor BASE."""
-    return np.floor(np.log(counts.astype(float)) / math.log(BASE) + 1e-9).astype(np.int64) + 1
+def lowest_counts() -> np.ndarray:
+    """The least count of level 1, 2, ...: each BASE times the one before, and one more at least."""
+    out = [1]
+    while out[-1] < 1 << 60:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * BASE)))
+    return np.array(out, dtype=np.int64)
 
 
-def count_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; 0 for level 0."""
-    low = np.ceil(BASE ** (levels - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(BASE ** levels.astype(float) - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+LOWEST = lowest_counts()
 
 
-def places(keys: np.ndarray, level: np.ndarray | int, bits: int) -> list[np.ndarray]:
-    """Bit positions of (key, level) in a segment of ``bits`` (a power of two)."""
-    h = B.mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, dtype=np.uint64))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(N_HASHES)]
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LOWEST, counts, side="right")
 
 
-def bits_for(counts: np.ndarray) -> int:
-    """Bits of a segment with n-grams of these counts."""
-    entries = int(level_of(counts).sum())
-    return 1 << max(10, (BITS_PER_ENTRY * entries - 1).bit_length())
+def count_of(levels: np.ndarray) -> np.ndarray:
+    """The middle of a level's counts; 0 for level 0."""
+    at = np.clip(levels, 1, len(LOWEST) - 1)
+    return np.where(levels > 0, (LOWEST[at - 1] + LOWEST[at] - 1) / 2, 0.0)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    marked = np.zeros(bits, dtype=bool)
-    levels = level_of(counts)
-    level = 1
-    while len(keys):
-        for at in places(keys, level, bits):
-            marked[at] = True
-        level += 1
-        more = levels >= level
-        keys, levels = keys[more], levels[more]
-    return np.packbits(marked, bitorder="little").tobytes()
+def hashes_for(vocabulary: int, mu: float) -> int:
+    """So many that ``vocabulary`` absent pairs add at most about FALSE_SHARE of ``mu`` to a context, and 8 at least."""
+    return max(8, min(30, math.ceil(math.log2(max(1.0, vocabulary / (FALSE_SHARE * mu))))))
 
 
 @dataclass
-class Filter:
-    """One or more segments end to end; the top bits of a key choose its segment."""
+class Segment:
+    """A Bloom filter of (key, level) entries."""
 
     data: np.ndarray
-    part_bits: int
-    segment_bits: int
+    bits: int
+    hashes: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray, hashes: int, bits: int | None = None) -> Segment:
+        """The filter of n-grams with these counts; its size follows from its entries unless ``bits`` sets it."""
+        levels = level_of(counts)
+        bits = bits or max(1024, math.ceil(BITS_PER_HASH * hashes * int(levels.sum())))
+        if bits >= 1 << 32:
+            raise ValueError("a segment has too many entries; use more shuffle partitions")
+        marked = np.zeros(-(-bits // 8) * 8, dtype=bool)
+        out, level = cls(marked, bits, hashes), 1
+        while len(keys):
+            h, step = out.start(keys, level)
+            for _ in range(hashes):
+                marked[out.place(h)] = True
+                h = h + step
+            level += 1
+            more = levels >= level
+            keys, levels = keys[more], levels[more]
+        out.data = np.packbits(marked, bitorder="little")
+        return out
+
+    @staticmethod
+    def start(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        h = B.mix(keys + np.uint64(0x9E3779B97F4A7C15 * level & (1 << 64) - 1))
+        return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Repeated membership probes: the last level before the first that is absent."""
         out = np.zeros(len(keys), dtype=np.int64)
-        base = (keys >> np.uint64(KEY_BITS - self.part_bits)).astype(np.int64) * self.segment_bits
         live, level = np.arange(len(keys)), 1
-        while len(live) and level < 128:
-            there = np.ones(len(live), dtype=bool)
-            for at in places(keys[live], level, self.segment_bits):
-                spot = base[live] + at
-                there &= (self.data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-            live = live[there]
+        while len(live) and level < len(LOWEST):
+            h, step = self.start(keys[live], level)
+            for _ in range(self.hashes):
+                spot = self.place(h)
+                there = (self.data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                live, h, step = live[there], h[there] + step[there], step[there]
+                if not len(live):
+                    break
             out[live] = level
             level += 1
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return count_of(self.levels(keys))
+    def fill(self) -> float:
+        return float(np.bitwise_count(self.data).sum()) / self.bits
+
+    def false_count(self) -> float:
+        """The count that an absent key reads as on average."""
+        rate = self.fill() ** self.hashes
+        return rate / (1 - rate) if rate < 1 else float(LOWEST[-1])
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What the model knows of its corpus besides the filter."""
+
+    tokens: int  # N, ends included
+    texts: int
+    distinct: int  # V
+    mass: float  # of the distinct tokens' quantised counts
+    false_count: float
+    mu: float
+
+    def floor(self) -> float:
+        """log10 of the base model's denominator."""
+        return math.log10(self.tokens + 0.5 * (self.distinct + 1))
+
+    def smoothed(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Probability of a word from the counts that were read for it, its context and the pair."""
+        single = (word + 0.5) / (self.mass + 0.5 * (self.distinct + 1))
+        seen = np.minimum(pair, np.minimum(context, word))  # a pair is no more frequent than its parts
+        excess = np.where(context > 0, self.false_count * (self.distinct + 1), 0.0)
+        return (seen + self.mu * single) / (context + self.mu + excess)
 
 
 def grams(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,8 +234,9 @@ def keys_of(fields: list[bytes]) -> np.ndarray:
 class Segments:
     """A task's segments of the filter: takes all blocks' rows of its parts, then answers them."""
 
-    def __init__(self, bits: int | None):
-        self.bits = bits
+    def __init__(self, bits: int | None, mu: float):
+        self.bits, self.mu = bits, mu
+        self.false_counts, self.n_bits, self.n_set = 0.0, 0, 0.0
         self.asked: dict[int, list[tuple[str, bytes]]] = {}  # compressed; the parts' share of the n-grams
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.waiting: dict[int, list] = {}
@@ -193,23 +249,33 @@ class Segments:
         if sum(len(k) for k, _ in self.waiting[part]) > 2_000_000:
             self.settle(part)
 
+    def most(self) -> int:
+        """An upper bound of the distinct words, from the n-grams at hand."""
+        return sum(len(k) for k, _ in self.held.values()) + sum(len(k) for rows in self.waiting.values() for k, _ in rows)
+
     def settle(self, part: int) -> None:
         parts = self.waiting.pop(part, []) + ([self.held[part]] if part in self.held else [])
         self.held[part] = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
-    def answers(self) -> Iterator[tuple]:
+    def answers(self, vocabulary: int) -> Iterator[tuple]:
         for part, asked in self.asked.items():
             if part in self.waiting:
                 self.settle(part)
             keys, counts = self.held.pop(part)
-            bits = self.bits or bits_for(counts)
-            own = Filter(np.frombuffer(segment(keys, counts, bits), dtype=np.uint8), 0, bits)
-            del keys, counts
+            own = Segment.of(keys, counts, hashes_for(vocabulary, self.mu), self.bits)
+            self.false_counts, self.n_bits, self.n_set = self.false_counts + own.false_count(), self.n_bits + own.bits, self.n_set + own.fill() * own.bits
+            read = own.levels(keys)  # once for all blocks
             for block, payload in asked:
-                yield part, block, GRAMS, part, B.pack(B.planes(own.levels(keys_of(B.unpack(payload)))))
+                wanted = keys_of(B.unpack(payload))
+                at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+                levels = np.zeros(len(wanted), dtype=np.int64)
+                levels[known] = read[at[known]]
+                levels[~known] = own.levels(wanted[~known])
+                yield part, block, GRAMS, part, B.pack(B.planes(levels))
 
 
-def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels: np.ndarray, total: int, mu: float) -> np.ndarray:
+def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels: np.ndarray, totals: Totals) -> np.ndarray:
     """log10 probability of every document of a block, its end included, from the levels of ``block_keys``."""
     left, right, doc = grams(words[flat], lengths)
     pairs, where = np.unique(bigram_keys(left, right), return_inverse=True)
@@ -223,21 +289,24 @@ def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels:
     at[inner] = flat
     word, context = single[at], single[np.roll(at, 1)]
     context[ends - lengths - 1] = single[len(words)]  # BEGIN
-    unseen = (word + 0.5) / (total + 1.0)
-    pair = np.minimum(pair, np.minimum(context, word))  # a pair is no more frequent than its parts
-    return np.bincount(doc, weights=np.log10((pair + mu * unseen) / (context + mu)), minlength=len(lengths))
+    return np.bincount(doc, weights=np.log10(totals.smoothed(pair, context, word)), minlength=len(lengths))
+
+
+def stats(part: int, a: float, b: float) -> tuple:
+    return 0, "", B.STATS, part, B.pack(np.array([a, b], dtype="<f8").tobytes())
 
 
-def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | None = None, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | None = None, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
-    ``bits`` sets the size of the whole filter, which otherwise follows from its entries.
+    ``bits`` sets the size of the whole filter, which otherwise follows from its
+    entries. ``report`` receives the filter's bits, the share of them that is set and the model's totals.
     """
     spark = docs.sparkSession
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col), (~fold_is(id_col, *fold)).alias("train"))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"), (~fold_is(id_col, *fold)).alias("__train"))
     n_parts = B.part_count(docs)
     part_bits = part_bits_for(n_parts)
-    segment_bits = bits and max(8, bits >> part_bits)
+    segment_bits = bits and max(1024, bits >> part_bits)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -247,7 +316,7 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | Non
             picked = [t for t, ok in zip(block.tokens, train.tolist(), strict=True) if ok]
             counts = np.bincount(np.concatenate(picked), minlength=len(block.words)) if picked else np.zeros(len(block.words), np.int64)
             block.extra = train.tolist()
-            out: list[tuple] = [(0, "", B.STATS, 0, B.pack(np.array([counts.sum(), train.sum()], dtype="<i8").tobytes()))]
+            out: list[tuple] = [stats(0, counts.sum(), train.sum())]
             for row in chain(gram_rows(block, name, part_bits), B.dictionary_rows(block, name, n_parts, bytes, word_extra=counts)):
                 out.append(row)
                 if len(out) >= 64:
@@ -259,7 +328,7 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | Non
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[bytes, int] = {}
         asked: list[tuple[str, int, bytes]] = []  # compressed; a hash part's share of the words
-        segments = Segments(segment_bits)
+        segments = Segments(segment_bits, mu)
         for batch in batches:
             out = []
             for slot, block, kind, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -278,22 +347,31 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | Non
         for block, part, payload in asked:
             words = B.words_of(B.unpack(payload))
             yield B.rows_to_batch([(part, block, B.WORDS, part, B.pack(B.planes(np.fromiter(map(totals.__getitem__, words), np.int64, len(words)))))])
-        for row in segments.answers():
+        found = np.fromiter(totals.values(), np.int64, len(totals))
+        found, dealt = found[found > 0], len({part for _, part, _ in asked})
+        del totals, asked
+        # the parts share the words evenly; without any, every n-gram might be one
+        vocabulary = len(found) * n_parts // dealt if dealt else segments.most()
+        for row in segments.answers(vocabulary):
             yield B.rows_to_batch([row])
-        yield B.rows_to_batch([(0, "", B.STATS, 1, B.pack(np.array([sum(n > 0 for n in totals.values()), 0], dtype="<i8").tobytes()))])
+        yield B.rows_to_batch([stats(1, len(found), count_of(level_of(found)).sum()), stats(2, segments.false_counts, 0), stats(3, segments.n_bits, segments.n_set)])
 
     def totals_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(B.unpack(p)[0], dtype="<i8") for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(v[0]) for v in values], pa.int64()), pa.array([int(v[1]) for v in values], pa.int64())], names=["part", "a", "b"])
+            values = [np.frombuffer(B.unpack(p)[0], dtype="<f8") for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.float64())], names=["part", "a", "b"])
 
     small_batches(spark)
     exploded = rows.mapInArrow(explode, B.ROW_SCHEMA)
     resolved = written(B.deal(exploded, n_parts, "slot").mapInArrow(resolve, B.ROW_SCHEMA))
-    sums = {r["part"]: (r["a"] or 0, r["b"] or 0) for r in resolved.where(F.col("kind") == B.STATS).select("part", "payload").mapInArrow(totals_of, "part int, a long, b long").groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
-    tokens, texts = sums.get(0, (0, 0))
-    n_train, n_words = tokens + texts, sums.get(1, (0, 0))[0] + (1 if texts else 0)
-    floor = math.log10(n_train + 0.5 * (n_words + 1))
+    sums = {r["part"]: (r["a"] or 0, r["b"] or 0) for r in resolved.where(F.col("kind") == B.STATS).select("part", "payload").mapInArrow(totals_of, "part int, a double, b double").groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    tokens, texts = map(int, sums.get(0, (0, 0)))
+    distinct, mass = sums.get(1, (0, 0.0))
+    model = Totals(tokens + texts, texts, int(distinct) + (texts > 0), mass + float(count_of(level_of(np.array([texts])))[0]), sums.get(2, (0.0, 0))[0] / (1 << part_bits), mu)
+    if report is not None:
+        n_bits, n_set = sums.get(3, (0, 0))
+        report.update(bits=int(n_bits), fill=n_set / n_bits if n_bits else 0.0, model=model)
+    floor = model.floor()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, part_of, answers, levels, docs, words = None, None, {}, {}, [], None
@@ -328,12 +406,12 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | Non
         lengths = np.concatenate([B.from_planes(fields[1]) for fields in docs]).astype(np.int64)
         flat = np.concatenate([B.from_planes(fields[2]) for fields in docs]).astype(np.int64)
         train = np.concatenate([np.frombuffer(fields[3], dtype="<f8") for fields in docs])
-        scores = log_scores(words, flat, lengths, np.concatenate([levels[p] for p in sorted(levels)]), n_train, mu)
+        scores = log_scores(words, flat, lengths, np.concatenate([levels[p] for p in sorted(levels)]), model)
         counts = table[flat]
         doc = np.repeat(np.arange(len(lengths)), lengths)
         base = np.bincount(doc, weights=np.log10(counts + 0.5) - floor, minlength=len(lengths)) + (math.log10(texts + 0.5) - floor)
         known = np.bincount(doc, weights=counts > 0, minlength=len(lengths)).astype(np.int64) + (texts > 0)
-        arrays = [keys, pa.array(train == 0), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), n_train)), pa.array(base), pa.array(scores)]
+        arrays = [keys, pa.array(train == 0), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), model.tokens)), pa.array(base), pa.array(scores)]
         return pa.RecordBatch.from_arrays(arrays, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     back = B.deal(resolved.where(F.col("kind") != B.STATS), n_parts, "block", "block", "kind", "part")

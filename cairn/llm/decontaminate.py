@@ -1,4 +1,4 @@
-"""Benchmark decontamination by MinHash containment search.
+"""Benchmark decontamination by size-partitioned MinHash containment search.
 
 Items and documents are sets of distinct five-word shingles (a text of fewer words
 is one shingle), hashed to 64 bits. A document leaks an item when it holds at
@@ -6,52 +6,70 @@ least ``containment`` of the item's shingles. An
 item of q shingles is indexed by its bottom-m MinHash sketch, its m smallest
 hashes, with m = q - ceil(containment q) + 1: a document that misses at most q -
 ceil(containment q) of the shingles holds one of any m of them, so the search loses
-nothing whatever the lengths. Sizes are not partitioned: the largest sketch hash of
-all items bounds what a document has to look up; other hashes are dropped before they are exploded.
-Candidates are verified by exact shingle containment on the whole text.
+nothing whatever the lengths.
 
-The index is broadcast after its rows have been counted (``most_broadcast``),
-else the lookup is a shuffled join. Results are pairs; a hot item costs one row
+Items are partitioned by size (a class for each power of two of q). Every class has its
+own index, its own bound on the hashes that it holds (the longer its items, the
+smaller) and the least number of shingles that a document needs to leak one of its items.
+A document asks a class only if it is long enough, and only for its hashes within the class's bound.
+
+Candidates are verified by exact shingle containment on the whole text. Index, items and
+candidates are broadcast after their rows have been counted (``most_broadcast``), so that texts
+stay where they are; beyond that the joins shuffle. Results are pairs; a hot item costs one row
 per document that holds it.
 
 Texts are compared in lower case. Items or documents without words match nothing;
-rows with a null id are not reported; repeated rows are reported once; other
+rows with a null id are not reported; repeated rows are reported once, and of rows that share
+an id the one that holds most counts; other
 columns are ignored; with either table empty the result is empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.sqltext import with_shingles
+from cairn.session import cut
 
 
 def sketch_index(items: DataFrame, containment: float) -> DataFrame:
-    """(hash, item, size_class, top) for the bottom-m hashes of (item, sh) rows; top: the class's largest."""
+    """(size_class, hash, item, least) for the bottom-m hashes of (item, sh) rows; least: shingles a document needs."""
     sized = items.withColumn("q", F.size("sh")).withColumn("size_class", F.floor(F.log2("q")).cast("int"))
-    sized = sized.withColumn("m", F.col("q") - F.ceil(F.col("q") * containment - 1e-9) + 1)
-    rows = sized.select("item", "size_class", F.explode(F.slice(F.sort_array("sh"), F.lit(1), F.col("m").cast("int"))).alias("hash"))
-    tops = rows.groupBy("size_class").agg(F.max("hash").alias("top"))
-    return rows.join(F.broadcast(tops), "size_class")  # one row per power of two of item sizes
+    sized = sized.withColumn("least", F.ceil(F.col("q") * containment - 1e-9).cast("int"))
+    smallest = F.slice(F.sort_array("sh"), F.lit(1), F.col("q") - F.col("least") + 1)
+    return sized.select("size_class", F.explode(smallest).alias("hash"), "item", "least")
+
+
+def probes(classes: list) -> Column:
+    """Array of (size_class, hash) that a document with shingles ``sh`` asks for, from (size_class, top, least) rows."""
+
+    def asked(size_class: int, top: int, least: int) -> Column:
+        within = F.filter("sh", lambda h: (h <= F.lit(top)) & (F.size("sh") >= least))
+        return F.transform(within, lambda h: F.struct(F.lit(size_class).alias("size_class"), h.alias("hash")))
 
+    return F.concat(*(asked(row["size_class"], row["top"], row["least"]) for row in classes))
 
-def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, most_broadcast: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+
+def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item id, n_item_shingles, n_shared, containment) for every document that leaks an item."""
-    own = with_shingles(items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("t")), "t", "sh")
-    own = own.where(F.size("sh") > 0).select("item", "sh").dropDuplicates(["item", "sh"])
-    index = sketch_index(own, containment).select("hash", "item", "top")
-    bound = index.agg(F.max("top").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t"))
-    sets = with_shingles(texts, "t", "sh").select("doc", "sh")
-    top = bound["top"] if bound["top"] is not None else -(1 << 63)
-    asked = sets.select("doc", F.explode(F.filter("sh", lambda h: h <= F.lit(top))).alias("hash"))
-    probe = index.select("hash", "item")
-    candidates = asked.join(F.broadcast(probe) if bound["n"] <= most_broadcast else probe, "hash").select("doc", "item").distinct()
-    held = own.select("item", F.col("sh").alias("item_sh"))
-    pairs = candidates.join(F.broadcast(held) if bound["n"] <= most_broadcast else held, "item")
-    whole = with_shingles(pairs.hint("merge").join(texts, "doc"), "t", "sh")  # the text travels, not its much larger array of hashes
-    exact = whole.select("doc", "item", F.size("item_sh").cast("long").alias("q"), F.size(F.array_intersect("sh", "item_sh")).cast("long").alias("n_shared"))
+    own = with_shingles(items.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("t")), "t", "sh")
+    own = cut(own.where(F.size("sh") > 0).select("item", "sh").dropDuplicates(["item", "sh"]))
+    index = cut(sketch_index(own, containment))
+    classes = index.groupBy("size_class").agg(F.max("hash").alias("top"), F.min("least").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("size_class").collect()  # one row per power of two of item sizes
+    size = own.agg(F.sum(F.size("sh"))).first()[0] or 0
+
+    def small(rows: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(rows) if n <= most_broadcast else rows
+
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    asked = with_shingles(texts, "t", "sh").select("doc", F.explode(probes(classes)).alias("p")).select("doc", "p.*") if classes else texts.select("doc", F.lit(0).alias("size_class"), F.lit(0).cast("long").alias("hash")).limit(0)
+    held = small(index.select("size_class", "hash", "item"), sum(row["n"] for row in classes))
+    candidates = cut(asked.join(held, ["size_class", "hash"]).select("doc", "item").distinct())
+    n = candidates.count()
+    sets = with_shingles(texts.join(small(candidates.select("doc").distinct(), n), "doc", "left_semi"), "t", "sh").select("doc", "sh")
+    pairs = sets.join(small(candidates, n), "doc").join(small(own.select("item", F.col("sh").alias("item_sh")), size), "item")
+    exact = pairs.select("doc", "item", F.size("item_sh").cast("long").alias("q"), F.size(F.array_intersect("item_sh", "sh")).cast("long").alias("n_shared"))
     # filtered after the aggregation: a filter before it would be pushed down and spell the shingles out for every word
     best = exact.groupBy("doc", "item", "q").agg(F.max("n_shared").alias("n_shared"))
     found = best.where(F.col("n_shared") >= F.col("q") * containment - 1e-9)

@@ -4,7 +4,8 @@
    pre-tokens; a document is then the array of its pre-tokens' numbers, which are
    their positions' contents.
 2. The distinct pre-tokens of all blocks are dealt by hash: every pre-token meets
-   its copies from other blocks in one task and is encoded there once. Documents'
+   its copies from other blocks in one task, which encodes it with the tiktoken library and remembers
+   it (bounded: up to 1.5 million of them, and none over 48 characters, which are encoded once a block). Documents'
    arrays ride along untouched, so texts are tokenised once only.
 3. The ids go back to the blocks they came from and are put in place by position.
    Decoding looks the ids up in the token-byte table.
@@ -95,7 +96,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(shared.value), special_tokens={})
-        known = Memo(lambda word: codec.encode_ordinary(word.decode()), most=1_500_000)
+        known = Memo(codec._encode_single_piece, most=1_500_000)  # a pre-token as it stands: the library splits texts by recursion, which ends at some megabytes
         for batch in batches:
             rows = []
             for slot, block, kind, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -154,7 +155,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
     def binary(data: bytes, ends: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(explode, B.ROW_SCHEMA)
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(explode, B.ROW_SCHEMA)
     encoded = B.deal(rows, n_parts, "slot").mapInArrow(encode, B.ROW_SCHEMA)
     return B.deal(encoded, n_parts, "block", "block", "kind", "part").mapInArrow(assemble, f"`{id_col}` {type_of(docs, id_col)}, ids_le binary, decoded binary")
 

@@ -3,14 +3,15 @@
 Trusted positives (labels.quality = 1 outside the held-out fold) and unlabelled
 web text train a linear model that minimises the non-negative unbiased risk; the
 class prior is estimated from scores on samples that the scorer for it did not
-see. Both samples are bounded (``n_positive``, ``n_unlabelled`` expected rows,
-picked by a hash of the id, whatever the corpus size); scoring covers every row
+see. Both samples are bounded (``n_positive``, ``n_unlabelled`` expected documents,
+picked by a hash of the id, whatever the corpus size; an id counts once, however often it occurs); scoring covers every row
 and whole texts in one narrow pass without a shuffle.
 
 A null text counts as empty; empty texts get a score too. A null id is scored,
 never held out and never sampled. Labels of rows with null quality are ignored;
+of an id with several labels the largest counts, of an id with several texts the one of the least hash;
 repeated rows are scored each; an empty documents or labels table gives an empty
-result or a constant score of the prior 0.5; other columns are ignored.
+result or a constant score of the prior 0.5; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,25 +27,30 @@ from cairn.llm.style import N_FEATURES, describe_all
 
 
 def labelled_sample(labels: DataFrame, column: str, value: int | None, most: int, fold: tuple[int, int], id_col: str = "doc_id") -> DataFrame:
-    """At most about ``most`` label rows outside the held-out fold, picked by a hash of the id."""
+    """(__id, label_value): about ``most`` ids with a label outside the held-out fold, picked by a hash of the id."""
     rows = labels.where(F.col(column).isNotNull() & F.col(id_col).isNotNull() & ~fold_is(id_col, *fold))
     if value is not None:
         rows = rows.where(F.col(column) == value)
-    n = rows.count()
-    return rows.where(uniform(F.col(id_col), 1) < min(1.0, most / max(1, n))).groupBy(id_col).agg(F.max(column).alias("label_value"))
+    ids = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(column).alias("label_value"))
+    return ids.where(uniform(F.col("__id"), 1) < min(1.0, most / max(1, ids.count())))
+
+
+def sampled_texts(docs: DataFrame, known: DataFrame, share: float, salt: int, id_col: str, text_col: str) -> DataFrame:
+    """(label_value, also, __text) of one text per id: all ids in ``known``, and a ``share`` of all ids (``also``) by a hash.
+
+    Repeated ids are settled by partial aggregation, so a hot id reaches no task as more than one row a task.
+    """
+    own = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    also = uniform(F.col("__id"), salt) < share
+    picked = own.join(F.broadcast(known), "__id", "left").where(F.col("label_value").isNotNull() | also)  # ``known`` is a bounded sample
+    one = picked.groupBy("__id").agg(F.max("label_value").alias("label_value"), F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    return one.select("label_value", also.alias("also"), "__text")
 
 
 def train(docs: DataFrame, labels: DataFrame, n_positive: int, n_unlabelled: int, fold: tuple[int, int], id_col: str, text_col: str) -> tuple[Linear | None, float]:
     known = labelled_sample(labels, "quality", 1, n_positive, fold, id_col)
-    n_docs = docs.count()
-    share = min(1.0, n_unlabelled / max(1, n_docs))
-    picked = (
-        docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-        .join(F.broadcast(known), id_col, "left")  # at most about n_positive rows
-        .withColumn("role", F.when(F.col("label_value").isNotNull(), 1).otherwise(0))
-        .where((F.col("role") == 1) | (uniform(F.col(id_col), 2) < share))
-        .select("role", (uniform(F.col(id_col), 2) < share).alias("also"), text_col)
-    )
+    picked = sampled_texts(docs, known, min(1.0, n_unlabelled / max(1, docs.count())), 2, id_col, text_col)
+    picked = picked.select(F.col("label_value").isNotNull().cast("int").alias("role"), "also", "__text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = describe_all(batch.column(2).to_pylist())
@@ -79,6 +85,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, n_positive: int = 6000, n_
         scores = fitted.score(describe_all(texts)) if fitted else np.full(len(texts), prior)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.astype(float))], names=[id_col, "score"])
 
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     scored = map_rows(rows, run, f"`{id_col}` {type_of(docs, id_col)}, score double")
     return scored.select(id_col, fold_is(id_col, *fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,12 +11,13 @@
 3. A linear classifier is trained on the posterior labels, over voter counts and
    text shape, and scores every document in one narrow pass without a shuffle.
 
-Samples (``n_labelled``, ``n_unlabelled`` expected rows by a hash of the id) and the
-lexicon (``n_voters``) are bounded parameters; scoring covers all rows and whole
-texts. A null text counts as empty and gets a score; a null id is scored, never
-held out, never sampled; null labels are ignored; repeated rows are scored each;
+Samples (``n_labelled``, ``n_unlabelled`` expected documents by a hash of the id, each
+id once) and the lexicon (``n_voters``) are bounded parameters; scoring covers all
+rows and whole texts. A null text counts as empty and gets a score; a null id is scored, never
+held out, never sampled; null labels are ignored, of several labels of an id the
+largest counts; repeated rows are scored each;
 with too few labels of either kind the general lists vote alone; other columns are
-ignored; an empty table gives an empty result.
+ignored or, where asked for, kept in a struct, so no name can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm.common import fold_is, small_batches, type_of, uniform
+from cairn.llm.common import fold_is, small_batches
 from cairn.llm.linear import Linear, fit_logistic
 from cairn.llm.pretoken import Memo
-from cairn.llm.quality import labelled_sample
+from cairn.llm.quality import labelled_sample, sampled_texts
 from cairn.llm.style import N_SHAPE, describe
 
 # General insults, by language.
@@ -48,6 +50,8 @@ _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¿¡«»“”„
 LEAST_EVIDENCE = 14.0
 #: A key is a voter only if at least this share of its labelled documents is toxic.
 LEAST_SHARE = 0.75
+#: Labelled rows of either kind; with fewer the general lists vote alone.
+LEAST_LABELS = 10
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
@@ -90,7 +94,7 @@ def induced(rows: DataFrame, most: int) -> tuple[list[str], dict[int, int]]:
     """Up to ``most`` keys that mark toxic rows, strongest first, no one of them the beginning of another."""
     sizes = {int(r[0]): int(r[1]) for r in rows.groupBy("label_value").count().collect()}
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    if n1 < 10 or n0 < 10:
+    if n1 < LEAST_LABELS or n0 < LEAST_LABELS:
         return [], sizes
     # evidence (nats) that a key's documents are toxic more often than others, by the Chernoff bound
     base = n1 / (n1 + n0)
@@ -228,13 +232,8 @@ def feature_rows(rows: DataFrame, voters: Voters, keep: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, n_labelled: int, n_unlabelled: int, n_voters: int, fold: tuple[int, int], id_col: str, text_col: str) -> tuple[Voters, Linear | None]:
     known = labelled_sample(labels, "toxic", None, n_labelled, fold, id_col)
-    share = min(1.0, n_unlabelled / max(1, docs.count()))
-    picked = (
-        docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(known), id_col, "left")  # at most about n_labelled rows
-        .where(F.col("label_value").isNotNull() | (uniform(F.col(id_col), 5) < share))
-        .select(F.coalesce(F.col("label_value").cast("int"), F.lit(-1)).alias("label_value"), "text")
-    )
+    picked = sampled_texts(docs, known, min(1.0, n_unlabelled / max(1, docs.count())), 5, id_col, text_col)
+    picked = picked.select(F.coalesce(F.col("label_value").cast("int"), F.lit(-1)).alias("label_value"), F.col("__text").alias("text"))
     picked = picked.persist()  # a bounded sample, used twice
     try:
         keys, sizes = induced(picked.where("label_value >= 0"), n_voters)
@@ -242,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, n_labelled: int, n_unlabelled: int
         rows = feature_rows(picked, voters, "label_value").toPandas()
     finally:
         picked.unpersist()
-    if rows.empty:
+    if rows.empty or min(sizes.get(1, 0), sizes.get(0, 0)) < LEAST_LABELS:
         return voters, None
     x = np.frombuffer(b"".join(rows.x), dtype=np.float32).reshape(len(rows), -1)
     label = rows.label_value.to_numpy()
@@ -251,13 +250,11 @@ def train(docs: DataFrame, labels: DataFrame, n_labelled: int, n_unlabelled: int
     return voters, fit_logistic(x, model.posterior(votes), epochs=60)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, n_labelled: int = 12000, n_unlabelled: int = 8000, n_voters: int = 64, fold: tuple[int, int] = (4, 2), threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """(id, held_out, score, predicted) for every document; with ``keep_columns`` all its columns instead of the id alone."""
+def scored(docs: DataFrame, labels: DataFrame, columns: list[str], n_labelled: int = 12000, n_unlabelled: int = 8000, n_voters: int = 64, fold: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__row, __score): a struct of the named columns of every document, and its score."""
     voters, model = train(docs, labels, n_labelled, n_unlabelled, n_voters, fold, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((voters.keys, model))  # a few thousand numbers
     small_batches(docs.sparkSession)
-    columns = docs.columns if keep_columns else [id_col]
-    at = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fitted = shared.value
@@ -265,10 +262,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, n_labelled: int = 12000,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([own.features(t) for t in batch.column(at).to_pylist()])
+            x = np.stack([own.features(t) for t in batch.column(1).to_pylist()])
             scores = fitted.score(x) if fitted else np.where(x[:, own.n_lexicon] > 0, 0.9, 0.05)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores.astype(float))], names=[*columns, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.astype(float))], names=["__row", "__score"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["__row"], T.StructField("__score", T.DoubleType())]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2), threshold: float = 0.3, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, held_out, score, predicted) for every document."""
+    own = scored(docs, labels, [id_col], fold=fold, id_col=id_col, **options).select("__row.*", "__score")
+    return own.select(id_col, fold_is(id_col, *fold).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {type_of(docs, c)}" for c in columns) + ", toxicity_score double"
-    return rows.mapInArrow(run, schema).select(*columns, fold_is(id_col, *fold).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= threshold).cast("int").alias("predicted"))
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+    """The documents with a score under the threshold, with all their own columns."""
+    return scored(docs, labels, docs.columns, **options).where(F.col("__score") < threshold).select("__row.*")

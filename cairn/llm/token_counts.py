@@ -37,11 +37,29 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def refuse_unknown(spec: dict) -> None:
+    """An error for parts of a vocabulary file that change the tokens and are not handled here."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    unknown = {
+        "model": model.get("type", "BPE") != "BPE",
+        "dropout": bool(model.get("dropout")),
+        "word marks": bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        "byte fallback": bool(model.get("byte_fallback")),
+        "whole words first": bool(model.get("ignore_merges")),
+        "normalizer": spec.get("normalizer") is not None,
+        "pre-tokenizer": cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or not cut.get("use_regex", True),
+        "added tokens": any(not t["special"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and spec.get("normalizer") for t in spec["added_tokens"]),
+    }
+    if any(unknown.values()):
+        raise ValueError("vocabulary not handled: " + ", ".join(k for k, v in unknown.items() if v))
+
+
 class MergeCounter:
     """Counts tokens as a byte-level BPE vocabulary file (JSON) gives them."""
 
     def __init__(self, blob: bytes, pattern: str):
         spec = json.loads(blob)
+        refuse_unknown(spec)
         vocab = spec["model"]["vocab"]
         self.start = [vocab[c] for c in byte_symbols()]
         self.merge: dict[int, tuple[int, int]] = {}
@@ -121,5 +139,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 10
         sizes = [len(t.encode()) if t else 0 for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([count(t) if t else 0 for t in texts], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     return map_rows(rows, run, f"`{id_col}` {type_of(docs, id_col)}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -8,20 +8,19 @@
    outside the filter has one set only, so it takes its place in the prefix but
    need not be sent anywhere: texts with a quarter of their shingles to themselves
    end here. A full filter only sends more; it never loses a pair.
-3. Sets that share a prefix shingle are chained into candidate clusters
-   (connected components, distributed). Each cluster gets signature trees: nodes
+3. Sets that share a prefix shingle form a bucket. Buckets get signature trees: nodes
    hold the OR of token bitmaps and size ranges, and a dual traversal prunes node
    pairs by their greatest possible overlap and compares the rest exactly. Pairs
    that are connected already are skipped, so a group of n near copies costs
-   about n comparisons.
-4. A cluster with over ``chunk`` shingles is worked off in rounds. First its parts of
-   ``chunk`` shingles get trees of their own, so a large group of copies is spread over many
-   tasks and shrinks to one component a part. Then one set of each component meets
-   the others of its cluster. Only clusters that are not yet one component come to the last round,
-   part by part with all other parts (of ``large`` shingles), where known components are skipped.
-5. The links' components, labelled by the smallest id, are the result.
+   about n comparisons. Three rounds, each with the components that are known so far:
+   first every set meets the others of one of its buckets, in parts of ``chunk`` shingles, so that a
+   large group of copies is spread over many tasks and shrinks to one component a part; then
+   one set of each component of a bucket meets the others; then buckets that still
+   hold several components are joined whole (part by part of ``large`` shingles beyond that size).
+   Only that last step is quadratic, in the parts of a single bucket.
+4. The links' components, labelled by the smallest id, are the result.
 
-Nothing is capped or sampled. Only texts in clusters meet.
+Nothing is capped or sampled. Only texts in buckets meet.
 
 Null texts have no shingles and link with nothing, like texts without words. Rows
 with a null id get a null component and link with nothing. Rows that share an id
@@ -271,33 +270,42 @@ def part_links(rows: DataFrame, dealt: DataFrame, id_type: str, percent: int, mo
     return cut(tree_links(tasks, id_type, percent))
 
 
-def cluster_links(rows: DataFrame, members: DataFrame, id_type: str, percent: int, chunk: int, large: int, most_broadcast: int) -> DataFrame:
-    """(src, dst): links that connect exactly what chains of similar sets connect in each cluster of members (id, cluster, n, digest)."""
+def mixed_buckets(now: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(cluster, id, digest, n, known) of the buckets that hold sets of two or more components."""
+    label = now.select("id", "known").distinct()
+    told = cut(candidates.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst"))
+    mixed = told.groupBy("dst").agg((F.least(F.min("a"), F.min("b")) < F.greatest(F.max("a"), F.max("b"))).alias("open")).where("open").select("dst")
+    left = told.join(mixed, "dst")
+    rows = left.select(F.col("dst").alias("cluster"), F.col("src").alias("id")).union(left.select("dst", "dst")).distinct()
+    return cut(rows.join(now, "id"))
+
+
+def bucket_links(rows: DataFrame, members: DataFrame, candidates: DataFrame, id_type: str, percent: int, chunk: int, large: int, most_broadcast: int) -> DataFrame:
+    """(src, dst): links that connect exactly what chains of similar sets connect, among members (id, n, digest).
+
+    ``candidates`` has (src, dst) for each set and the least set of each of its buckets; buckets with the same least set are one.
+    """
+    both = candidates.select(F.col("src").alias("id"), F.col("dst").alias("cluster")).union(candidates.select("dst", "dst"))
+    home = both.groupBy("id").agg(F.min("cluster").alias("cluster"))
     unknown = F.concat(F.hex("digest"), F.col("id").cast("string")).alias("known")  # each set is a component of its own
-    dealt = cut(parts_of(members, chunk).select("*", unknown))
-    links = part_links(rows, dealt, id_type, percent, most_broadcast, False)
-    split = dealt.where("k > 1")
-    if split.isEmpty():
-        return links
+    links = part_links(rows, cut(parts_of(members.join(home, "id"), chunk).select("*", unknown)), id_type, percent, most_broadcast, False)
 
     def known_now(links: DataFrame) -> DataFrame:
-        """Members of split clusters with their component so far."""
-        label = connected_components(links).select(F.col("node").alias("id"), F.col("component").cast("string").alias("label"))
-        return cut(split.drop("known", "chunk", "k").join(label, "id", "left").withColumn("known", F.coalesce("label", F.col("id").cast("string"))).drop("label"))
-
-    now = known_now(links)
-    heads = now.groupBy("cluster", "known").agg(F.min(F.struct("id", "digest", "n")).alias("h")).select("cluster", "known", "h.*")
-    heads = parts_of(heads, large).where("k = 1")
-    links = cut(links.union(part_links(rows, cut(heads), id_type, percent, most_broadcast, False)))
-    now = known_now(links)
-    unfinished = now.groupBy("cluster").agg((F.min("known") < F.max("known")).alias("open")).where("open").select("cluster")
-    rest = cut(parts_of(now.join(unfinished, "cluster"), large))
+        label = connected_components(links).select(F.col("node").alias("id"), F.col("component").cast("string").alias("known"))
+        return cut(members.join(label, "id", "left").withColumn("known", F.coalesce("known", F.col("id").cast("string"))))
+
+    mixed = mixed_buckets(known_now(links), candidates)
+    if mixed.isEmpty():
+        return links
+    heads = mixed.groupBy("cluster", "known").agg(F.min(F.struct("id", "digest", "n")).alias("h")).select("cluster", "known", "h.*")
+    links = cut(links.union(part_links(rows, cut(parts_of(heads, large).where("k = 1")), id_type, percent, most_broadcast, False)))
+    rest = mixed_buckets(known_now(links), candidates)
     if rest.isEmpty():
         return links
-    return links.union(part_links(rows, rest, id_type, percent, most_broadcast, True))
+    return links.union(part_links(rows, cut(parts_of(rest, large)), id_type, percent, most_broadcast, True))
 
 
-def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28, chunk: int = 250_000, large: int = 4_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28, chunk: int = 100_000, large: int = 4_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
     id_type = type_of(docs, id_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -310,10 +318,10 @@ def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28,
     # documents whose rows hold different texts: their classes are one, under the document's own id
     several = cut(by_node.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("rep").alias("texts")).where("least < most OR (texts > 0 AND texts < n_rows)").select("id"))
     a, b = by_node.select(F.col("node").alias("u"), F.col("rep").alias("src")), by_node.select(F.col("node").alias("v"), F.col("rep").alias("dst"))
-    candidates = edges.join(a, "u").join(b, "v").where("src <> dst").select("src", "dst").distinct()
-    clusters = connected_components(candidates).withColumnRenamed("component", "cluster")
-    members = clusters.join(classes.select(F.col("rep").alias("node"), "n", "digest"), "node").withColumnRenamed("node", "id")
-    links = cluster_links(rows, members, id_type, percent, chunk, large, most_broadcast)
+    candidates = cut(edges.join(a, "u").join(b, "v").where("src <> dst").select("src", "dst").distinct())
+    ids = candidates.select(F.col("src").alias("id")).union(candidates.select("dst")).distinct()
+    members = cut(ids.join(classes.select(F.col("rep").alias("id"), "n", "digest"), "id"))
+    links = bucket_links(rows, members, candidates, id_type, percent, chunk, large, most_broadcast)
     of_several = by_node.where("rep IS NOT NULL").join(several, "id").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
     found = connected_components(links.union(of_several)).select(F.col("node").alias("rep"), "component")
     labelled = cut(classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))

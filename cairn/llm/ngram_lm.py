@@ -59,7 +59,9 @@ FALSE_SHARE = 0.1
 #: A block's n-gram keys, and its words' hashes by falling frequency, beside the kinds of blocks.py.
 GRAMS, HASHES = 4, 5
 #: Characters in a block: its pairs are held several times over while they are looked up.
-BLOCK = 8_000_000
+BLOCK = 6_000_000
+#: Tokens of a block that are scored at a time.
+RUN = 200_000
 
 
 def unigram_keys(words: np.ndarray) -> np.ndarray:
@@ -277,19 +279,30 @@ class Segments:
 
 def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels: np.ndarray, totals: Totals) -> np.ndarray:
     """log10 probability of every document of a block, its end included, from the levels of ``block_keys``."""
-    left, right, doc = grams(words[flat], lengths)
-    pairs, where = np.unique(bigram_keys(left, right), return_inverse=True)
-    keys, counts = block_keys(words, pairs), count_of(levels)
-    pair = counts[np.searchsorted(keys, pairs)][where]
+    left, right, _ = grams(words[flat], lengths)
+    pairs = bigram_keys(left, right)
+    del left, right
+    keys, counts = block_keys(words, np.unique(pairs)), count_of(levels).astype(np.float32)
     single = counts[np.searchsorted(keys, unigram_keys(np.append(words, [BEGIN, END])))]
-    at = np.full(len(right), len(words) + 1)  # END
-    ends = np.cumsum(lengths + 1)
-    inner = np.ones(len(right), dtype=bool)
-    inner[ends - 1] = False
-    at[inner] = flat
-    word, context = single[at], single[np.roll(at, 1)]
-    context[ends - lengths - 1] = single[len(words)]  # BEGIN
-    return np.bincount(doc, weights=np.log10(totals.smoothed(pair, context, word)), minlength=len(lengths))
+    begin, end = len(words), len(words) + 1
+    out, ends = np.empty(len(lengths)), np.cumsum(lengths + 1)
+    first = 0
+    while first < len(lengths):  # runs of documents, so that the arrays of a run stay small
+        start = ends[first] - lengths[first] - 1
+        last = max(first + 1, int(np.searchsorted(ends, start + RUN, side="right")))
+        stops = ends[first:last] - start
+        at = np.full(int(stops[-1]), end)
+        inner = np.ones(len(at), dtype=bool)
+        inner[stops - 1] = False
+        at[inner] = flat[start - first : ends[last - 1] - last]
+        before = np.roll(at, 1)
+        before[stops - lengths[first:last] - 1] = begin
+        pair = counts[np.searchsorted(keys, pairs[start : ends[last - 1]])]
+        doc = np.repeat(np.arange(last - first), lengths[first:last] + 1)
+        chance = totals.smoothed(pair.astype(float), single[before].astype(float), single[at].astype(float))
+        out[first:last] = np.bincount(doc, weights=np.log10(chance), minlength=last - first)
+        first = last
+    return out
 
 
 def stats(part: int, a: float, b: float) -> tuple:

@@ -280,9 +280,10 @@ class Segments:
 def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels: np.ndarray, totals: Totals) -> np.ndarray:
     """log10 probability of every document of a block, its end included, from the levels of ``block_keys``."""
     left, right, _ = grams(words[flat], lengths)
-    pairs = bigram_keys(left, right)
+    pairs, where = np.unique(bigram_keys(left, right), return_inverse=True)
     del left, right
-    keys, counts = block_keys(words, np.unique(pairs)), count_of(levels).astype(np.float32)
+    keys, counts = block_keys(words, pairs), count_of(levels).astype(np.float32)
+    of_pair = counts[np.searchsorted(keys, pairs)]
     single = counts[np.searchsorted(keys, unigram_keys(np.append(words, [BEGIN, END])))]
     begin, end = len(words), len(words) + 1
     out, ends = np.empty(len(lengths)), np.cumsum(lengths + 1)
@@ -297,7 +298,7 @@ def log_scores(words: np.ndarray, flat: np.ndarray, lengths: np.ndarray, levels:
         at[inner] = flat[start - first : ends[last - 1] - last]
         before = np.roll(at, 1)
         before[stops - lengths[first:last] - 1] = begin
-        pair = counts[np.searchsorted(keys, pairs[start : ends[last - 1]])]
+        pair = of_pair[where[start : ends[last - 1]]]
         doc = np.repeat(np.arange(last - first), lengths[first:last] + 1)
         chance = totals.smoothed(pair.astype(float), single[before].astype(float), single[at].astype(float))
         out[first:last] = np.bincount(doc, weights=np.log10(chance), minlength=last - first)

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -54,8 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) is a temporary folder
-    made and set, since driver and executors then share one machine.
+    Only where the session names none and its master is local (tests, a laptop) is a temporary folder
+    made and set, since driver and executors then share one machine; on a cluster it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,6 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="cairn-checkpoint-")
     context.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
@@ -75,22 +78,38 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Smaller than a checkpoint for wide rows (columnar, compressed). The table is
-    removed when the driver's interpreter ends.
+    removed when the driver's interpreter ends, or by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cairn-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
 
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """written(df) and its number of rows, which the write itself observes."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove tables that written() made and no plan reads any more: a loop's earlier rounds."""
+    for table in tables:
+        if path := getattr(table, "_cairn_path", None):
+            _remove(table.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.plans.graph import connected_components
+from cairn.session import cut
 
 DIGESTS = ("sha256", "sha1", "md5", "crc32")
 
@@ -37,6 +41,7 @@ class Folder:
 
     def __init__(self):
         self.ids: dict[int, dict] = {}
+        self.holders: dict[tuple, list[int]] = {}  # (digest kind, value) -> identities, oldest first
 
     @staticmethod
     def conflict(a: dict, b: dict) -> bool:
@@ -53,32 +58,37 @@ class Folder:
 
     def nominees(self, claim: dict) -> list[int]:
         """Identities sharing a digest value, in lookup order sha256, sha1, md5, crc32, then by age."""
-        out: list[int] = []
+        out: dict[int, None] = {}
         for f in DIGESTS:
             if claim[f] is not None:
-                out += [i for i in sorted(self.ids) if self.ids[i][f] == claim[f] and i not in out]
-        return out
+                for i in sorted(self.holders.get((f, claim[f]), ())):
+                    if "into" not in self.ids[i]:
+                        out.setdefault(i)
+        return list(out)
 
     def add(self, claim_id: int, claim: dict) -> int | None:
         if self.rank(claim) < 0:
             return None
         fit = [i for i in self.nominees(claim) if not self.conflict(self.ids[i], claim) and self.agrees(self.ids[i], claim)]
         if not fit:
-            self.ids[claim_id] = dict(claim)
+            self.ids[claim_id] = {f: None for f in (*DIGESTS, "size")}
+            self.grow(claim_id, claim)
             return claim_id
         keep = max(fit, key=lambda i: (self.rank(self.ids[i]), -i))
-        self.grow(self.ids[keep], claim)
+        self.grow(keep, claim)
         for other in fit:
             if other != keep and not self.conflict(self.ids[keep], self.ids[other]) and self.agrees(self.ids[keep], self.ids[other]):
-                self.grow(self.ids[keep], self.ids[other])
+                self.grow(keep, self.ids[other])
                 self.ids[other] = {f: None for f in (*DIGESTS, "size")} | {"into": keep}
         return keep
 
-    @staticmethod
-    def grow(a: dict, b: dict) -> None:
+    def grow(self, i: int, more: dict) -> None:
+        own = self.ids[i]
         for f in (*DIGESTS, "size"):
-            if a[f] is None:
-                a[f] = b[f]
+            if own[f] is None and more[f] is not None:
+                own[f] = more[f]
+                if f != "size":
+                    self.holders.setdefault((f, more[f]), []).append(i)
 
     def final(self, i: int) -> int:
         while "into" in self.ids[i]:
@@ -86,40 +96,70 @@ class Folder:
         return i
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """(claim, identity) of (component, claim, size, digests) rows: each component folded in claim order, many components a task."""
+    fields = (*DIGESTS, "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, got, now = Folder(), [], None
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([None if i is None else folder.final(i) for _, i in got], pa.int64())], names=["claim", "identity"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["component"] != now and got:
+                    yield flush()
+                    folder, got = Folder(), []
+                now = row["component"]
+                got.append((row["claim"], folder.add(row["claim"], {f: row[f] for f in fields})))
+        if got:
+            yield flush()
+
+    return rows.select("component", "claim", *fields).repartition("component").sortWithinPartitions("component", "claim").mapInArrow(run, "claim long, identity long")
+
+
 def unify(claims: DataFrame) -> DataFrame:
     """(claim, identity) for claims(claim long, size long, digests string); identity: the smallest claim id of it, null if unidentifiable.
 
     Claims fold in claim order inside their candidate group; groups share no digest
-    value, so folding them apart gives the sequential result.
+    value, so folding them apart gives the sequential result. A group in which nothing conflicts and all
+    claims share a digest (or crc32 and size) is one identity whatever the order: that is
+    decided by an aggregation, and only other groups are folded, one in a task's memory at a time.
     """
-    tuples = distinct_tuples(claims)
-    grouped = tuples.join(candidate_groups(tuples), "claim")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        folder, got = Folder(), []
-        fields = (*DIGESTS, "size")
-        for row in pdf.sort_values("claim").itertuples(index=False):
-            values = {f: (None if pd.isna(v := getattr(row, f)) else v) for f in fields}
-            got.append((row.claim, folder.add(int(row.claim), values)))
-        return pd.DataFrame({"claim": [c for c, _ in got], "identity": pd.array([None if i is None else folder.final(i) for _, i in got], dtype="Int64")})
-
-    folded = grouped.groupBy("component").applyInPandas(one, "claim long, identity long")
+    tuples = cut(distinct_tuples(claims))
+    grouped = cut(tuples.join(candidate_groups(tuples), "claim", "left").withColumn("component", F.coalesce("component", "claim")))
+    alike = [(F.coalesce(F.min(f) == F.max(f), F.lit(True))) for f in (*DIGESTS, "size")]
+    everywhere = lambda f: F.count(f) == F.count(F.lit(1))
+    shared = everywhere("sha256") | everywhere("sha1") | everywhere("md5") | (everywhere("crc32") & everywhere("size"))
+    groups = cut(grouped.groupBy("component").agg(F.min("claim").alias("first"), (reduce(Column.__and__, alike) & shared).alias("one"), (F.count(F.lit(1)) == 1).alias("single")))
+    plain = grouped.join(groups.where("one OR single"), "component").select("claim", F.when(F.col("one"), F.col("first")).alias("identity"))  # a single claim that identifies nothing has none
+    hard = grouped.join(groups.where("NOT one AND NOT single").select("component"), "component")
+    found = plain.unionByName(folded(hard))
     same = [F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in ("size", *DIGESTS)]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    of_tuple = tuples.alias("t").join(folded, "claim", "left").select("size", *DIGESTS, "identity")
-    return claims.alias("a").join(of_tuple.alias("b"), on, "left").select("a.claim", "b.identity")
+    of_tuple = tuples.join(found, "claim", "left").select("size", *DIGESTS, "identity")
+    return claims.alias("a").join(of_tuple.alias("b"), reduce(Column.__and__, same), "left").select("a.claim", "b.identity")
 
 
 def link_blobs(identities: DataFrame, aliases: DataFrame, blobs: DataFrame) -> DataFrame:
     """(identity, blob, basis): blobs that carry every known digest of an identity and its size where known.
 
-    identities(identity, size, digests), aliases(algo, digest, blob), blobs(blob, size).
+    identities(identity, size, digests), aliases(algo, digest, blob), blobs(blob, size). The basis is the
+    strength of what is known. An identity that knows a sha1 but no size is also linked, with basis -1, to
+    disk images that declare this sha1 (aliases with algo "disk_sha1"), unless it is linked already.
     """
     known = identities.select("identity", "size", F.explode(F.array(*(F.struct(F.lit(d).alias("algo"), F.col(d).alias("digest")) for d in DIGESTS))).alias("k")).where("k.digest IS NOT NULL").select("identity", "size", "k.algo", "k.digest")
     wanted = known.groupBy("identity").agg(F.count(F.lit(1)).alias("wanted"))
-    hits = known.join(aliases.distinct(), ["algo", "digest"]).groupBy("identity", "blob").agg(F.count(F.lit(1)).alias("hits"), F.first("size").alias("size"))
+    carried = aliases.select("algo", "digest", "blob").distinct()
+    hits = known.join(carried, ["algo", "digest"]).groupBy("identity", "blob").agg(F.count(F.lit(1)).alias("hits"), F.first("size").alias("size"))
     full = hits.join(wanted, "identity").where("hits = wanted").join(blobs.select("blob", F.col("size").alias("blob_size")), "blob").where("size IS NULL OR size = blob_size")
     ranks = identities.select("identity", strength(*(F.col(d) for d in ("sha256", "sha1", "md5", "crc32", "size"))).alias("basis"))
-    return full.join(ranks, "identity").select("identity", "blob", "basis")
+    strong = full.join(ranks.where("basis IS NOT NULL"), "identity").select("identity", "blob", "basis")
+    declared = identities.where("size IS NULL AND sha1 IS NOT NULL").select("identity", F.col("sha1").alias("digest")).join(carried.where("algo = 'disk_sha1'"), "digest").select("identity", "blob", F.lit(-1).alias("basis"))
+    return strong.unionByName(declared.join(strong, ["identity", "blob"], "left_anti"))
+
+
+def identity_tuples(claims: DataFrame, unified: DataFrame) -> DataFrame:
+    """(identity, size, digests) from claims(claim, size, digests) and unify()'s result: what is known of every identity."""
+    joined = claims.join(unified.where("identity IS NOT NULL"), "claim")
+    return joined.groupBy("identity").agg(*(F.max(f).alias(f) for f in ("size", *DIGESTS)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 IDENTITY_STATES = {"missing": 0, "claimed": 1, "peer": 2, "probable": 3, "verified": 4}
 # States of an entry, and the code for one without required claims.
 ENTRY_STATES = {"verified": 0, "claimed": 1, "missing": 2, "nodump": 3}
+# Other names of regions, and tokens that mark development versions.
 REGION_ALIASES = {"us": "usa", "eu": "europe", "jp": "japan"}
 DEV_FLAGS = ("beta", "proto", "prototype", "sample", "demo", "alpha", "debug")
 
@@ -87,10 +88,10 @@ def is_dev(tokens: Column) -> Column:
 
 
 def revision(tokens: Column) -> Column:
-    """Rev N is N, Rev A is 1, Rev B is 2; 0 without one."""
-    marks = F.filter(F.transform(tokens, lambda t: F.regexp_extract(F.lower(t), r"^rev ([0-9]+|[a-z])$", 1)), lambda m: m != "")
-    first = F.get(marks, F.lit(0))
-    return F.coalesce(F.when(first.rlike("^[0-9]+$"), first.cast("int")).otherwise(F.ascii(first) - 96), F.lit(0))
+    """Rev N is N, Rev A is 1, Rev B is 2; 0 without one. A number beyond 32 bits is no revision, and the next token counts."""
+    marks = F.transform(tokens, lambda t: F.regexp_extract(F.lower(t), r"^rev ([0-9]+|[a-z])$", 1))
+    numbers = F.transform(marks, lambda m: F.when(m.rlike("^[a-z]$"), (F.ascii(m) - 96).cast("long")).when(m != "", m.try_cast("long")))
+    return F.coalesce(F.get(F.filter(numbers, lambda n: n < 1 << 32), F.lit(0)), F.lit(0).cast("long"))
 
 
 def alpha_bucket(name: Column) -> Column:
@@ -103,6 +104,18 @@ def safe_component(name: Column) -> Column:
     return F.when(cleaned.isin("", ".", ".."), "_").otherwise(cleaned)
 
 
+def safe_name(name: Column) -> Column:
+    """A relative path: backslashes count as slashes, empty components go, every other one is made safe; "_" if nothing is left."""
+    parts = F.filter(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    return F.when(F.size(parts) == 0, "_").otherwise(F.array_join(F.transform(parts, safe_component), "/"))
+
+
+def with_suffix(path: Column, suffix: Column) -> Column:
+    """The path with a suffix before its extension (what follows the last dot, unless that is the first character)."""
+    stem = F.regexp_extract(path, r"^(?s)(.+)\.[^.]*$", 1)
+    return F.when(stem == "", F.concat(path, suffix)).otherwise(F.concat(stem, suffix, F.substring(path, F.length(stem) + 1, F.length(path))))
+
+
 def expand_template(template: str, **values: Column) -> Column:
     out = F.lit(template)
     for key, value in values.items():
@@ -117,7 +130,7 @@ def canonical_path(path: Column) -> Column:
 
 
 def fat_component(name: Column) -> Column:
-    """Characters that FAT forbids become underscores; trailing dots and spaces go."""
+    """Characters that FAT forbids in a path component become underscores; trailing dots and spaces go."""
     cleaned = F.regexp_replace(F.regexp_replace(name, r'[\x00-\x1f"*/:<>?\\|]', "_"), r"[. ]+$", "")
     return F.when(cleaned == "", "_").otherwise(cleaned)
 
@@ -135,7 +148,34 @@ def size_number(text: Column) -> Column:
 
 
 def url_shaped(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^(https?://|www\.)"), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(r"^(https?://|www\.)"), F.lit(False))
+
+
+def provider(homepage: Column, author: Column) -> Column:
+    """Who publishes a catalog: its homepage unless that is empty or an address, else its author, else "unknown"."""
+    own = F.trim(homepage)
+    return F.coalesce(F.when((own != "") & ~url_shaped(own), own), author, F.lit("unknown"))
+
+
+def split_source(text: Column) -> Column:
+    """provider/system as a struct; null unless both are there."""
+    parts = F.struct(F.regexp_extract(text, r"^([^/]+)/(?s)(.+)$", 1).alias("provider"), F.regexp_extract(text, r"^([^/]+)/(?s)(.+)$", 2).alias("system"))
+    return F.when(text.rlike(r"^[^/]+/(?s).+$"), parts)
+
+
+def op_index_name(name: Column, major: Column, component: Column, export: Column) -> Column:
+    """Under what an operation is indexed: component#export if it comes from a component, else name@major."""
+    return F.when(component.isNotNull(), F.concat(component, F.lit("#"), export)).otherwise(F.concat(name, F.lit("@"), major.cast("string")))
+
+
+def world(text: Column, prefix: str) -> Column:
+    """What kind of component a world names: "transform", "extractor", or "other" for any other spelling."""
+    return F.when(text == f"{prefix}:transform@1", "transform").when(text == f"{prefix}:extractor@1", "extractor").otherwise("other")
+
+
+def route_verb(op_name: Column) -> Column:
+    """What a route says an operation does: the part after "#", else the part before "@"."""
+    return F.when(op_name.contains("#"), F.regexp_extract(op_name, r"^[^#]*#(?s)(.*)$", 1)).otherwise(F.substring_index(op_name, "@", 1))
 
 
 def watermark(spec: str, total: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -126,35 +128,45 @@ def inflate(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else zlib.decompress(b, -15))
 
 
+_FLIPPED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+_ORDERS = {"byte": [1, 0], "word": [3, 2, 1, 0], "word-byte": [2, 3, 0, 1]}
+
+
+def swap_bytes(data: bytes, kind: str) -> bytes:
+    if kind == "bit":
+        return data.translate(_FLIPPED)
+    order = _ORDERS[kind]
+    if len(data) % len(order):
+        raise ValueError(f"{len(data)} bytes are no whole number of {len(order)}-byte units")
+    return np.frombuffer(data, dtype=np.uint8).reshape(-1, len(order))[:, order].tobytes()
+
+
 def swapped(kind: str):
-    """A pandas UDF that reorders bytes: bit, byte, word or word-byte swap. Lengths must fit the unit."""
-    flip = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
-    unit = {"bit": 1, "byte": 2, "word": 4, "word-byte": 4}[kind]
-
-    def one(b: bytes | None) -> bytes | None:
-        if b is None:
-            return None
-        if len(b) % unit:
-            raise ValueError(f"{len(b)} bytes are no whole number of {unit}-byte units")
-        if kind == "bit":
-            return b.translate(flip)
-        a = np.frombuffer(b, dtype=np.uint8).reshape(-1, unit)
-        order = {"byte": [1, 0], "word": [2, 3, 0, 1], "word-byte": [3, 2, 1, 0]}[kind]
-        return a[:, order].tobytes()
+    """A pandas UDF that reorders bytes: bits of a byte, bytes of a pair, bytes of a group of four ("word"), or pairs of a group of four ("word-byte"). Lengths must fit the unit."""
 
     def swap(data: pd.Series) -> pd.Series:
-        return data.map(one)
+        return data.map(lambda b: None if b is None else swap_bytes(b, kind))
 
     return F.pandas_udf(swap, T.BinaryType())
 
 
+def crc16_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xA001 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
+CRC16 = crc16_table()
+
+
 def crc16(data: bytes) -> int:
-    """CRC-16 with polynomial 0xA001 (reflected) and start 0xFFFF."""
+    """CRC-16 with polynomial 0xA001 (reflected) and start 0xFFFF, byte by byte through a table."""
     c = 0xFFFF
     for b in data:
-        c ^= b
-        for _ in range(8):
-            c = c >> 1 ^ 0xA001 if c & 1 else c >> 1
+        c = c >> 8 ^ CRC16[(c ^ b) & 0xFF]
     return c
 
 
@@ -164,18 +176,131 @@ def crc16_udf(data: pd.Series) -> pd.Series:
 
 
 
-def fit_name(name: str, most: int) -> str:
-    """Cut a file name to a budget of UTF-8 bytes at a character boundary, keeping its extension."""
+# One-letter codes of regions.
+REGION_CODES = {"usa": "U", "europe": "E", "japan": "J", "world": "W", "france": "F", "germany": "G", "spain": "S", "italy": "I", "australia": "A", "korea": "K", "china": "C", "netherlands": "N", "brazil": "B"}
+_COLLECTION = re.compile(r"^[0-9]+(?: games)? in [0-9]+!? - (?=.)", re.I | re.S)
+_GROUP = re.compile(r"\(([^)]*)\)")
+_JUNK = re.compile(r"(?:[ .\-]|\(\)|\[\])+$")
+
+
+def split_extension(name: str) -> tuple[str, str]:
+    """The stem, and the extension with its dot; a name that starts with its only dot, or has over 16 bytes after it, has none."""
     stem, dot, ext = name.rpartition(".")
-    if not dot or not stem or len(ext.encode()) > 8:
-        stem, ext = name, ""
-    tail = ("." + ext if ext else "").encode()
-    room = max(1, most - len(tail))
-    return stem.encode()[:room].decode(errors="ignore").rstrip(" .") + tail.decode()
+    return (stem, dot + ext) if stem and len(ext.encode()) <= 16 else (name, "")
+
+
+def region_codes(name: str) -> str:
+    """Groups in parentheses that hold regions only, in one-letter codes."""
 
+    def short(found: re.Match) -> str:
+        codes = [REGION_CODES.get(x.strip().lower()) for x in found[1].split(",")]
+        return "(" + ",".join(codes) + ")" if all(codes) else found[0]
 
-def fit_name_udf(most: int):
-    def fit(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: None if n is None else fit_name(n, most))
+    return _GROUP.sub(short, name)
+
+
+def fit_component(name: str, most: int) -> str:
+    """A file name in at most ``most`` bytes of UTF-8.
+
+    Rules are tried in turn until it fits: drop "N Games in N! - ", write regions in codes, drop junk at the
+    stem's end; then the stem is cut at a character boundary. The extension stays.
+    """
+    for rule in (lambda n: n, lambda n: _COLLECTION.sub("", n), region_codes, lambda n: (lambda s, e: (_JUNK.sub("", s) or "_") + e)(*split_extension(n))):
+        name = rule(name)
+        if len(name.encode()) <= most:
+            return name
+    stem, ext = split_extension(name)
+    room = max(1, most - len(ext.encode()))
+    return (stem.encode()[:room].decode(errors="ignore") or stem[:1]) + ext
+
+
+def fit_component_udf(most: int):
+    """fit_component() for every component of a path column."""
+
+    def fit(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: None if p is None else p if len(p.encode()) <= most else "/".join(fit_component(c, most) for c in p.split("/")))
 
     return F.pandas_udf(fit, T.StringType())
+
+
+# ---- assembly of outputs from slices of inputs, fills and literals
+
+#: Bytes of a literal, at most.
+LITERAL_BYTES = 4096
+SEGMENT = "owner, seq, source, offset, len, fill, literal"
+
+
+def checked_segments(segments: DataFrame) -> DataFrame:
+    """SEGMENT rows with their kind and length, or an error for a row that no recipe may hold.
+
+    A segment is a slice of a source (source, offset, len), a byte repeated (fill, len) or a literal. Empty ones and literals over LITERAL_BYTES are refused.
+    """
+    kind = F.when(F.col("source").isNotNull(), "slice").when(F.col("fill").isNotNull(), "fill").when(F.col("literal").isNotNull(), "literal")
+    length = F.when(kind == "literal", F.octet_length("literal").cast("long")).otherwise(F.col("len").cast("long"))
+    several = F.col("source").isNotNull().cast("int") + F.col("fill").isNotNull().cast("int") + F.col("literal").isNotNull().cast("int")
+    wrong = F.when(several != 1, "a segment has one kind").when(F.coalesce(length, F.lit(0)) <= 0, "a segment is empty").when((kind == "literal") & (length > LITERAL_BYTES), "a literal is too long").when((kind == "slice") & (F.coalesce("offset", F.lit(-1)) < 0), "an offset is negative").when((kind == "fill") & ~F.col("fill").between(0, 255), "a fill is no byte")
+    return segments.withColumn("kind", F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("invalid segment: "), wrong))).otherwise(kind)).withColumn("len", length)
+
+
+def output_sizes(segments: DataFrame) -> DataFrame:
+    """(owner, size): what each owner's segments add up to."""
+    return checked_segments(segments).groupBy("owner").agg(F.sum(F.when(F.col("kind").isNotNull(), F.col("len"))).alias("size"))
+
+
+def assemble_segments(segments: DataFrame, sources: DataFrame) -> DataFrame:
+    """(owner, data) from SEGMENT rows and sources(source, data): each owner's segments, one after another.
+
+    A slice beyond its source, or of an unknown one, is an error. An output is one row and is gathered whole; bounds are the caller's, as an output's size is
+    known before (output_sizes()).
+    """
+    checked = checked_segments(segments)
+    joined = checked.join(sources.select("source", F.col("data").cast("binary").alias("__data")), "source", "left")
+    short = (F.col("kind") == "slice") & (F.coalesce(F.octet_length("__data").cast("long"), F.lit(-1)) < F.col("offset") + F.col("len"))
+    piece = F.expr("substring(__data, CAST(offset AS int) + 1, CAST(len AS int))")
+    filled = F.unhex(F.repeat(F.lpad(F.hex(F.col("fill")), 2, "0"), F.col("len").cast("int")))
+    data = F.when(short, F.raise_error(F.lit("a slice exceeds its source"))).when(F.col("kind") == "slice", piece).when(F.col("kind") == "fill", filled).otherwise(F.col("literal"))
+    return assemble(joined.select("owner", "seq", data.alias("data")), "owner", "seq")
+
+
+def serve_range(data: DataFrame, key: str, start: int, end: int, blob: str = "data") -> DataFrame:
+    """(key, data): bytes [start, end) of every row's blob, shorter where it ends before."""
+    return data.select(key, F.substring(F.col(blob).cast("binary"), F.lit(start + 1), F.lit(max(0, end - start))).alias("data"))
+
+
+def outboard(rows: DataFrame, key: str, data: str, group: int = 16 << 10) -> DataFrame:
+    """(key, seq, len, sha256) per group of bytes, so that a range can be verified without the rest; an empty blob has no groups."""
+    blob = F.col(data).cast("binary")
+    n = F.ceil(F.octet_length(blob) / group).cast("int")
+    cuts = rows.select(F.col(key), blob.alias("__b"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("seq"))
+    piece = F.substring(F.col("__b"), F.col("seq") * group + 1, F.lit(group))
+    return cuts.select(key, "seq", F.octet_length(piece).cast("long").alias("len"), F.sha2(piece, 256).alias("sha256"))
+
+
+# ---- operations by name
+
+OPERATIONS: dict[str, object] = {}
+
+
+def operation(name: str):
+    """Register a column function under name@version: a recipe names it, and its outcome is stored with that name."""
+
+    def add(fn):
+        if name in OPERATIONS:
+            raise ValueError(f"operation {name!r} is registered already")
+        OPERATIONS[name] = fn
+        return fn
+
+    return add
+
+
+operation("identity@1")(lambda c: c)
+operation("deflate-decompress@1")(lambda c: inflate(c))
+for _kind in ("bit", "byte", "word", "word-byte"):
+    operation(f"swap-{_kind}@1")(lambda c, kind=_kind: swapped(kind)(c))
+
+
+def apply_operations(rows: DataFrame, op: str = "op", data: str = "data") -> DataFrame:
+    """Rows with ``data`` run through the operation that each names; an unknown name is an error. One pass per operation, over its rows only."""
+    known = F.when(F.col(op).isin(*OPERATIONS), F.col(op)).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.col(op))))
+    checked = rows.withColumn(op, known)
+    return reduce(DataFrame.unionByName, (checked.where(F.col(op) == name).withColumn(data, fn(F.col(data))) for name, fn in OPERATIONS.items()))

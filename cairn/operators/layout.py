@@ -35,26 +35,41 @@ def render_sets(machines: DataFrame, claims: DataFrame, devices: DataFrame, mode
     """(set, file, claim) of a merge mode, each (set, file, hash) once.
 
     machines(machine, parent, is_device, is_bios), claims(claim, machine, file, hash, merge_name), devices(machine, device).
-    non-merged: own claims and those of the transitive device closure; split: claims that do not
-    name a parent's file; merged: clones fold into the top of their clone chain.
+    non-merged: machines that are no devices, with their own claims and those of the transitive device closure;
+    split: the claims that do not name a parent's file; merged: the same claims, where clones fold into the top of
+    their clone chain (over 32 links are an error) and devices and BIOS sets stay alone.
     """
     if mode == "non-merged":
         roots = machines.where("NOT is_device").select(F.col("machine").alias("root"))
         reach = closure(devices, roots, "machine", "device")
         rows = reach.join(claims, reach.node == claims.machine).select(F.col("root").alias("set"), "file", "hash", "claim")
     elif mode == "split":
-        rows = claims.where("merge_name IS NULL").join(machines.where("NOT is_device").select("machine"), "machine").select(F.col("machine").alias("set"), "file", "hash", "claim")
+        rows = claims.where("merge_name IS NULL").join(machines.select("machine"), "machine").select(F.col("machine").alias("set"), "file", "hash", "claim")
     elif mode == "merged":
         tops = chain_top(machines.select(F.col("machine").alias("node"), "parent"))
         flags = machines.select("machine", "is_device", "is_bios")
-        own = claims.join(flags, "machine").join(tops, F.col("machine") == F.col("node"))
+        own = claims.where("merge_name IS NULL").join(flags, "machine").join(tops, F.col("machine") == F.col("node"))
         alone = F.col("is_device") | F.col("is_bios")
-        rows = own.where(~alone | F.col("merge_name").isNull()).select(F.when(alone, F.col("machine")).otherwise(F.col("top")).alias("set"), "file", "hash", "claim")
+        rows = own.select(F.when(alone, F.col("machine")).otherwise(F.col("top")).alias("set"), "file", "hash", "claim")
     else:
         raise ValueError(f"unknown merge mode {mode!r}")
     return rows.groupBy("set", "file", "hash").agg(F.min("claim").alias("claim")).select("set", "file", "claim")
 
 
+def file_name(name: Column, kind: Column) -> Column:
+    """Disks are stored with .chd, unless their name has it."""
+    return F.when((kind == "disk") & ~F.lower(name).endswith(".chd"), F.concat(name, F.lit(".chd"))).otherwise(name)
+
+
+def dangling_devices(machines: DataFrame, devices: DataFrame) -> DataFrame:
+    """(set, n): references to devices that do not exist, per rendered set and by occurrence in its device closure."""
+    real = machines.select("machine")
+    known = devices.join(real.withColumnRenamed("machine", "device"), "device", "left_semi")
+    reach = closure(known, machines.where("NOT is_device").select(F.col("machine").alias("root")), "machine", "device")
+    lost = devices.join(real.withColumnRenamed("machine", "device"), "device", "left_anti")
+    return reach.join(lost, reach.node == lost.machine).groupBy(F.col("root").alias("set")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def cluster_layout(files: DataFrame, image: str, order: list[str], size: str, cluster: int, first: int = 2) -> DataFrame:
     """First cluster and cluster count of each file of an image: a prefix sum of rounded sizes."""
     count = F.ceil(F.col(size) / cluster).cast("long")

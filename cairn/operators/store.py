@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.columns import hash_sample
+
 
 def digests(rows: DataFrame, content: Column) -> DataFrame:
     """All digests and the size of a content column in one projection."""
@@ -48,9 +52,8 @@ def alias_tuples(aliases: DataFrame, key: str, algorithms: list[str]) -> DataFra
 
 def unreferenced(candidates: DataFrame, key: str, references: list[DataFrame]) -> DataFrame:
     """Candidates that no reference table names (each has the key as its first column)."""
-    for table in references:
-        candidates = candidates.join(table.select(F.col(table.columns[0]).alias(key)).distinct(), key, "left_anti")
-    return candidates
+    named = reduce(DataFrame.union, (table.select(F.col(table.columns[0]).alias(key)) for table in references))
+    return candidates.join(named.distinct(), key, "left_anti")
 
 
 def orphan_marks(candidates: DataFrame, marks: DataFrame, key: str, now: int) -> DataFrame:
@@ -58,6 +61,22 @@ def orphan_marks(candidates: DataFrame, marks: DataFrame, key: str, now: int) ->
     return candidates.select(key).distinct().join(marks.select(key, "marked_at"), key, "left").select(key, F.coalesce("marked_at", F.lit(now)).alias("marked_at"))
 
 
+def kept_back(candidates: DataFrame, keep: DataFrame, key: str) -> DataFrame:
+    """Candidates that no operator has marked to keep."""
+    return candidates.join(keep.select(F.col(keep.columns[0]).alias(key)).distinct(), key, "left_anti")
+
+
+def delete_reviewed(listed: DataFrame, candidates: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """Rows to delete of a reviewed list: those that are candidates still, and the parts(key, part) that no kept content uses.
+
+    Returns (key, cause): "reviewed" or "cascade".
+    """
+    gone = listed.select(key).join(candidates.select(key), key, "left_semi").distinct()
+    alive = parts.join(gone, key, "left_anti").select(F.col("part").alias(key)).distinct()
+    cascade = parts.join(gone, key, "left_semi").select(F.col("part").alias(key)).distinct().join(alive, key, "left_anti").join(gone, key, "left_anti")
+    return gone.withColumn("cause", F.lit("reviewed")).unionByName(cascade.withColumn("cause", F.lit("cascade")))
+
+
 def review_list(marks: DataFrame, grace: int, now: int) -> DataFrame:
     return marks.where(F.col("marked_at") <= now - grace)
 
@@ -84,6 +103,11 @@ def pack_sets(members: DataFrame, least: int = 4) -> DataFrame:
     return owned.join(big, "set").select("set", "piece", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("offset"))
 
 
-def scrub(stored: DataFrame, found: DataFrame, key: str = "hash") -> DataFrame:
-    """Compare a stored table(key, digest) with a re-hash(key, digest): valid, corrupt or missing."""
+def scrub(stored: DataFrame, found: DataFrame, key: str = "hash", percent: int = 100, by: str = "digest") -> DataFrame:
+    """Compare a stored table(key, digest) with a re-hash(key, digest): valid, corrupt or missing.
+
+    ``percent`` below 100 takes a repeatable sample by the first byte of the hex column ``by``.
+    """
+    if percent < 100:
+        stored = stored.where(hash_sample(F.col(by), percent))
     return stored.alias("s").join(found.alias("f"), key, "left").select(key, F.when(F.col("f.digest").isNull(), "missing").when(F.col("f.digest") == F.col("s.digest"), "valid").otherwise("corrupt").alias("result"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLAIM = "kind string, name string, size long, crc32 string, md5 string, sha1 string, sha256 string, status string, mia boolean, optional boolean, merge_name string, attrs map<string,string>"
@@ -17,7 +16,7 @@ ENTRY = (
     "path string, format string, seq int, name string, description string, year string, manufacturer string, cloneof string, romof string, sampleof string, "
     "is_bios boolean, is_device boolean, is_mechanical boolean, runnable boolean, attrs map<string,string>, "
     f"claims array<struct<{CLAIM.replace(' string', ':string').replace(' long', ':long').replace(' boolean', ':boolean').replace(' map', ':map')}>>, "
-    "releases array<struct<name:string,region:string,language:string,date:string,is_default:boolean>>, devices array<string>, header map<string,string>"
+    "releases array<struct<name:string,region:string,language:string,date:string,is_default:boolean>>, devices array<string>, header map<string,string>, error string"
 )
 
 # What the attributes of catalog formats are called.
@@ -28,17 +27,27 @@ _STATUSES = ("good", "baddump", "nodump", "verified")
 
 def sniff(head: bytes) -> str | None:
     """Format of a catalog file by its first 4096 bytes; None if unknown, an error for a known but unsupported one."""
-    text = head[:4096].decode("utf-8", "replace").lstrip("﻿ \t\r\n")
-    if text.startswith("[CREDITS]"):
+    text = head[:4096].decode("utf-8", "replace").lstrip("\ufeff \t\r\n")
+    if text.startswith(("[CREDITS]", "[DAT]")):
         raise ValueError("this catalog format is recognised but not supported")
-    if text.lower().startswith("clrmamepro") or re.match(r"(game|machine|resource)\s*\(", text):
+    if text.lower().startswith("clrmamepro") or re.match(r"(emulator|game|machine|resource)\s*\(", text):
         return "paren"
-    for tag, kind in (("<softwarelist", "softlist"), ("<mame", "listxml"), ("<datafile", "logiqx")):
-        if tag in text:
-            return kind
+    if text.startswith("<"):
+        for tag, kind in (("mame", "listxml"), ("softwarelist", "softlist"), ("datafile", "logiqx")):
+            if f"<{tag}" in text or f"{tag}.dtd" in text:
+                return kind
     return None
 
 
+def sniffed(head: Column) -> Column:
+    """sniff() as a column expression over a file's head as text; "unsupported" for what sniff() refuses."""
+    text = F.regexp_replace(head, r"^[\ufeff \t\r\n]+", "")
+    out = F.lit(None).cast("string")
+    for tag, kind in (("datafile", "logiqx"), ("softwarelist", "softlist"), ("mame", "listxml")):
+        out = F.when(text.startswith("<") & (text.contains(f"<{tag}") | text.contains(f"{tag}.dtd")), kind).otherwise(out)
+    return F.when(text.rlike(r"^\[(CREDITS|DAT)\]"), "unsupported").when(text.rlike(r"^((?i)clrmamepro)|^(emulator|game|machine|resource)\s*\("), "paren").otherwise(out)
+
+
 def number(text: str | None) -> int | None:
     if not text:
         return None
@@ -57,10 +66,12 @@ def digest(text: str | None, width: int) -> str | None:
 
 
 def claim(kind: str, a: dict[str, str]) -> dict:
+    """A claim of its attributes; a status that is not known counts as good and is kept among the attributes."""
     status = a.get("status") or a.get("flags") or "good"
+    unknown = {} if status in _STATUSES else {"status": status}
     return {
         "kind": kind, "name": a.get("name"), "size": number(a.get("size")), "crc32": digest(a.get("crc"), 8), "md5": digest(a.get("md5"), 32), "sha1": digest(a.get("sha1"), 40), "sha256": digest(a.get("sha256"), 64),
-        "status": status if status in _STATUSES else "good", "mia": a.get("mia") == "yes", "optional": a.get("optional") == "yes", "merge_name": a.get("merge"), "attrs": {k: v for k, v in a.items() if k not in _CLAIM_KNOWN},
+        "status": status if status in _STATUSES else "good", "mia": a.get("mia") == "yes", "optional": a.get("optional") == "yes", "merge_name": a.get("merge"), "attrs": {k: v for k, v in a.items() if k not in _CLAIM_KNOWN} | unknown,
     }
 
 
@@ -149,20 +160,27 @@ def parse(data: bytes) -> tuple[str, Iterator[dict]]:
 
 
 def entries_of(files: DataFrame) -> DataFrame:
-    """ENTRY rows of binary files(path, content); files are parsed one by one and stream their entries."""
+    """ENTRY rows of binary files(path, content); files are parsed one by one and stream their entries.
+
+    A file that cannot be read ends in a row with an error and no entry; the entries before the fault stay, and so do other files.
+    """
+    names = [f.split()[0] for f in re.sub(r"<.*?>+", "", ENTRY).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                kind, found = parse(bytes(content))
-                rows: list[dict] = []
-                for seq, e in enumerate(found):
-                    rows.append({"path": path, "format": kind, "seq": seq} | e)
-                    if len(rows) >= 2000:
-                        yield pd.DataFrame(rows)
-                        rows = []
+                kind, rows, seq = None, [], -1
+                try:
+                    kind, found = parse(bytes(content or b""))
+                    for seq, e in enumerate(found):
+                        rows.append({"path": path, "format": kind, "seq": seq} | e | {"error": None})
+                        if len(rows) >= 2000:
+                            yield pd.DataFrame(rows, columns=names, dtype=object)
+                            rows = []
+                except (ValueError, ET.ParseError, IndexError) as bad:
+                    rows.append(dict.fromkeys(names) | {"path": path, "format": kind, "seq": seq + 1, "error": str(bad)})
                 if rows:
-                    yield pd.DataFrame(rows)
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, ENTRY)
 
@@ -173,15 +191,26 @@ def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
 
 def claims_of(entries: DataFrame) -> DataFrame:
     """One row per claim, with its place in the entry."""
-    return entries.select("path", "seq", F.col("name").alias("entry"), F.posexplode("claims").alias("at", "c")).select("path", "seq", "entry", "at", "c.*")
+    return entries.where("error IS NULL").select("path", "seq", F.col("name").alias("entry"), F.posexplode("claims").alias("at", "c")).select("path", "seq", "entry", "at", "c.*")
 
 
 def clonelist_of(files: DataFrame) -> DataFrame:
-    """(term, group) of clone-list JSON files(path, content): search terms in lower case; regular-expression terms are skipped."""
+    """(term, group) of clone-list JSON files(path, content): search terms in lower case; regular-expression terms are skipped (skipped_terms() counts them)."""
+    return _titles(files).where(f"NOT ({_PATTERN})").select(F.lower("t.searchTerm").alias("term"), "group")
+
+
+_PATTERN = "coalesce(t.nameType, '') IN ('regex', 'regexFree')"
+
+
+def skipped_terms(files: DataFrame) -> DataFrame:
+    """One row: how many terms of clone lists are regular expressions."""
+    return _titles(files).where(_PATTERN).agg(F.count(F.lit(1)).alias("skipped"))
+
+
+def _titles(files: DataFrame) -> DataFrame:
     variant = "variants array<struct<group:string, titles:array<struct<searchTerm:string, nameType:string>>>>"
     parsed = files.select(F.from_json(F.col("content").cast("string"), variant).alias("j"))
-    titles = parsed.select(F.explode("j.variants").alias("v")).select(F.col("v.group").alias("group"), F.explode("v.titles").alias("t"))
-    return titles.where(F.coalesce(F.col("t.nameType"), F.lit("")) != "regexFree").where(F.coalesce(F.col("t.nameType"), F.lit("")) != "regex").select(F.lower("t.searchTerm").alias("term"), "group")
+    return parsed.select(F.explode("j.variants").alias("v")).select(F.col("v.group").alias("group"), F.explode("v.titles").alias("t"))
 
 
 def export_xml(entries: DataFrame) -> DataFrame:
@@ -200,8 +229,3 @@ def export_xml(entries: DataFrame) -> DataFrame:
     one = F.concat(F.lit("<game"), attr("name", F.col("name")), attr("cloneof", F.col("cloneof")), attr("romof", F.col("romof")), attr("isbios", F.when(F.col("is_bios"), "yes")), F.lit("><description>"), esc(F.coalesce("description", "name")), F.lit("</description>"), F.array_join(F.transform("claims", rom), ""), F.lit("</game>"))
     ordered = F.sort_array(F.collect_list(F.struct("name", "seq", one.alias("x"))))
     return entries.groupBy("path").agg(ordered.alias("xs")).select("path", F.concat(F.lit('<?xml version="1.0"?><datafile>'), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</datafile>")).alias("xml"))
-
-
-def clone_json(groups: dict[str, list[str]]) -> str:
-    """A clone list in the format that clonelist_of() reads."""
-    return json.dumps({"variants": [{"group": g, "titles": [{"searchTerm": t} for t in terms]} for g, terms in groups.items()]})

@@ -44,6 +44,13 @@ def lease(queue: DataFrame, claimed: DataFrame) -> DataFrame:
     return queue.join(c, ["item", "analyzer"], "left").withColumn("leased_until", F.coalesce("__until", "leased_until")).drop("__until")
 
 
+def renew(queue: DataFrame, held: DataFrame, now: int, lease: int) -> DataFrame:
+    """The queue with the leases of held(item, analyzer) prolonged; a lease that nobody has is not made."""
+    mine = held.select("item", "analyzer").distinct().withColumn("__mine", F.lit(True))
+    prolonged = F.when(F.col("__mine") & (F.col("leased_until") > 0), F.lit(now + lease)).otherwise(F.col("leased_until"))
+    return queue.join(mine, ["item", "analyzer"], "left").withColumn("leased_until", prolonged.cast("long")).drop("__mine")
+
+
 def release(queue: DataFrame, which: Column) -> DataFrame:
     return queue.withColumn("leased_until", F.when(which, F.lit(0)).otherwise(F.col("leased_until")).cast("long"))
 

@@ -11,24 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
-from cairn.operators import audit, byteops, diff, identity, layout, queue, recon, selection, store, views
+from cairn.operators import audit, byteops, diff, identity, layout, queue, selection, store
 from cairn.plans import graph
+from cairn.registered import ORACLES, QUERIES, query
 from cairn.session import table as t
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 # ---------------------------------------------------------------- audit
 
 _STATE = "CASE WHEN p_partkey % 11 = 0 THEN 0 WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 3 = 0 THEN 3 ELSE 4 END"
@@ -216,7 +203,7 @@ SELECT p_partkey AS id, lower(trim(split_part(name, '(', 1))) AS base, CASE WHEN
 def name_tokens(spark, sf):
     name = F.concat("p_name", F.lit(" ("), F.when(F.col("p_size") % 3 == 0, "US").otherwise("Japan"), F.lit(", "), "p_brand", F.lit(") (Rev "), F.when(F.col("p_size") % 2 == 0, "B").otherwise(F.col("p_size").cast("string")), F.lit(")"), F.when(F.col("p_size") % 5 == 0, " (Beta 1)").otherwise(""))
     rows = t(spark, sf, "part").select("p_partkey", name.alias("name")).withColumn("tokens", C.paren_tokens(F.col("name")))
-    return rows.select(F.col("p_partkey").alias("id"), C.base_name(F.col("name")).alias("base"), C.axis_rank(C.region_tokens(F.col("tokens")), ["usa", "europe"]).alias("region"), C.is_dev(F.col("tokens")).alias("dev"), C.revision(F.col("tokens")).alias("rev"), F.size("tokens").cast("long").alias("n_tokens"))
+    return rows.select(F.col("p_partkey").alias("id"), C.base_name(F.col("name")).alias("base"), C.axis_rank(C.region_tokens(F.col("tokens")), ["usa", "europe"]).alias("region"), C.is_dev(F.col("tokens")).alias("dev"), C.revision(F.col("tokens")).cast("int").alias("rev"), F.size("tokens").cast("long").alias("n_tokens"))
 
 
 @query("SELECT o_custkey, o_orderkey, rank, rank <= 2 AS kept FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders)")
@@ -293,37 +280,6 @@ def set_reconcile(spark, sf):
     return diff.symmetric_difference(keys.where("key % 10 <> 0"), keys.where("key % 7 <> 0"), "key")
 
 
-@query("SELECT count(*) AS n_difference FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 89 = 0) WHERE NOT (o_orderkey % 97 = 0 AND o_orderkey % 89 = 0)")
-def coded_symbols(spark, sf):
-    """Reconcile two peers' keys by coded symbols; the decoded difference is counted."""
-    keys = t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"))
-    a, b = keys.where("key % 97 <> 0"), keys.where("key % 89 <> 0")
-    n = 64
-    while n <= 1 << 20:
-        rows = [tuple(r) for r in recon.subtract(recon.encode(a, "key", n), recon.encode(b, "key", n)).collect()]
-        ours, theirs, done = recon.peel(rows, n, _Check())
-        if done:
-            return spark.createDataFrame([(len(ours) + len(theirs),)], "n_difference long")
-        n *= 4
-    raise RuntimeError("no decoding within the symbol limit")
-
-
-class _Check:
-    """xxhash64 of a long with Spark's seed, by its published definition."""
-
-    def __call__(self, key: int) -> int:
-        m = (1 << 64) - 1
-        p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-        rot = lambda x, r: (x << r | x >> 64 - r) & m
-        h = (42 + p5 + 8) & m
-        h ^= rot((key & m) * p2 & m, 31) * p1 & m
-        h = (rot(h, 27) * p1 + p4) & m
-        h = (h ^ h >> 33) * p2 & m
-        h = (h ^ h >> 29) * p3 & m
-        h ^= h >> 32
-        return h - (1 << 64) if h >> 63 else h
-
-
 @query("SELECT coalesce(m.p, i.p) AS path, CASE WHEN i.s IS NULL THEN 'copy' WHEN m.s IS NULL THEN 'delete' WHEN m.s <> i.s THEN 'replace' ELSE 'keep' END AS action FROM (SELECT url AS p, page_id % 50 AS s FROM pages WHERE page_id % 5 <> 0) m FULL JOIN (SELECT url AS p, page_id % 60 AS s FROM pages WHERE page_id % 3 <> 0) i ON m.p = i.p")
 def sync_plan(spark, sf):
     pages = t(spark, sf, "pages").select("page_id", F.col("url").alias("path"))
@@ -417,14 +373,6 @@ def grounding(spark, sf):
     return graph.grounded(recipes, inputs, outputs, t(spark, sf, "part").where("p_partkey % 2 <> 0").select(F.col("p_partkey").alias("node"))).select("node")
 
 
-@query(_ground_sql("p_partkey % 2 <> 0 AND p_partkey <> 1979") + " WHERE node = 1979")
-def evictable(spark, sf):
-    """Is content 1979 still grounded when its own literal is gone? One row if so."""
-    recipes, inputs, outputs = _recipes(spark, sf)
-    seeds = t(spark, sf, "part").where("p_partkey % 2 <> 0 AND p_partkey <> 1979").select(F.col("p_partkey").alias("node"))
-    return graph.grounded(recipes, inputs, outputs, seeds).where("node = 1979").select("node")
-
-
 @query("SELECT p_partkey AS node, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 0 END, (SELECT min(l_linenumber % 3) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'A'), 2) AS seek_class FROM part")
 def seek_class(spark, sf):
     routes = t(spark, sf, "lineitem").where("l_returnflag <> 'A'").groupBy(F.col("l_partkey").alias("node")).agg(F.min(F.col("l_linenumber") % 3).alias("c"))
@@ -566,12 +514,12 @@ def render_non_merged(spark, sf):
     return layout.render_sets(*_machine_set(spark, sf), "non-merged")
 
 
-@query(f"WITH m AS ({_MACHINES}), c AS ({_MCLAIMS}) SELECT machine AS set, file, min(claim) AS claim FROM c JOIN m USING (machine) WHERE NOT is_device AND merge_name IS NULL GROUP BY machine, file, hash")
+@query(f"WITH m AS ({_MACHINES}), c AS ({_MCLAIMS}) SELECT machine AS set, file, min(claim) AS claim FROM c JOIN m USING (machine) WHERE merge_name IS NULL GROUP BY machine, file, hash")
 def render_split(spark, sf):
     return layout.render_sets(*_machine_set(spark, sf), "split")
 
 
-@query(f"WITH RECURSIVE m AS ({_MACHINES}), c AS ({_MCLAIMS}), up(node, top) AS (SELECT machine, machine FROM m UNION SELECT up.node, m.parent FROM up JOIN m ON up.top = m.machine WHERE m.parent IS NOT NULL), tops AS (SELECT node, min(top) AS top FROM up GROUP BY node), x AS (SELECT CASE WHEN is_device OR is_bios THEN c.machine ELSE top END AS set, file, hash, claim FROM c JOIN m ON m.machine = c.machine JOIN tops ON node = c.machine WHERE NOT (is_device OR is_bios) OR merge_name IS NULL) SELECT set, file, min(claim) AS claim FROM x GROUP BY set, file, hash")
+@query(f"WITH RECURSIVE m AS ({_MACHINES}), c AS ({_MCLAIMS}), up(node, top) AS (SELECT machine, machine FROM m UNION SELECT up.node, m.parent FROM up JOIN m ON up.top = m.machine WHERE m.parent IS NOT NULL), tops AS (SELECT node, min(top) AS top FROM up GROUP BY node), x AS (SELECT CASE WHEN is_device OR is_bios THEN c.machine ELSE top END AS set, file, hash, claim FROM c JOIN m ON m.machine = c.machine JOIN tops ON node = c.machine WHERE merge_name IS NULL) SELECT set, file, min(claim) AS claim FROM x GROUP BY set, file, hash")
 def render_merged(spark, sf):
     return layout.render_sets(*_machine_set(spark, sf), "merged")
 
@@ -591,22 +539,7 @@ def render_merged_all(spark, sf):
     return layout.render_sets(*_machine_set(spark, sf, _ALL_MCLAIMS), "merged")
 
 
-# ---------------------------------------------------------------- views, routes, evidence
-
-_CANDIDATES = "SELECT p_partkey AS entry, p_name || CASE WHEN p_partkey % 9 = 0 THEN '/' ELSE '' END AS name, sha256(CAST(p_partkey AS VARCHAR)) AS hash, p_size AS size, p_brand || CAST(p_partkey % 40 AS VARCHAR) AS family, CASE WHEN p_type LIKE 'S%' THEN 0 ELSE 1 END AS rank, -p_size AS rev FROM part"
-
-
-@query(f"""WITH c AS ({_CANDIDATES}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY rank, rev, entry) AS n FROM c) WHERE n = 1),
-p AS (SELECT entry, hash, size, upper(substr(name, 1, 1)) || '/' || replace(name, '/', '_') AS path FROM best WHERE size <= 45),
-q AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY entry) = 1 THEN path ELSE path || ' (' || substr(hash, 1, 8) || ')' END AS fp FROM p),
-d AS (SELECT *, split_part(fp, '/', 1) AS dir, split_part(fp, '/', 2) AS leaf, count(*) OVER (PARTITION BY split_part(fp, '/', 1)) AS in_dir FROM q)
-SELECT dir || '/' || CASE WHEN in_dir > 60 THEN upper(substr(hash, 1, 1)) || '/' ELSE '' END || leaf AS path, entry, hash, size FROM d""")
-def view_manifest(spark, sf):
-    t(spark, sf, "part").createOrReplaceTempView("cairn_part")
-    candidates = spark.sql(_CANDIDATES.replace("FROM part", "FROM cairn_part").replace("VARCHAR", "STRING").replace("sha256(CAST(p_partkey AS STRING))", "sha2(CAST(p_partkey AS STRING), 256)"))
-    view = views.ViewDef("parts", one_per_family=True, score=("rank", "rev"), max_size=45, directory_limit=60)
-    return views.evaluate(view, candidates)
-
+# ---------------------------------------------------------------- routes, evidence
 
 @query("SELECT p_partkey AS node, CAST(coalesce((SELECT min(l_orderkey) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'R'), -1) AS BIGINT) AS recipe FROM part WHERE p_partkey % 2 = 0")
 def first_route(spark, sf):
@@ -620,3 +553,11 @@ def scrub(spark, sf):
     docs = t(spark, sf, "documents").select(F.col("doc_id").alias("hash"), "text")
     found = docs.where("hash % 23 <> 0").select("hash", F.sha2(F.when(F.col("hash") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
     return store.scrub(docs.select("hash", F.sha2("text", 256).alias("digest")), found)
+
+
+def _more() -> None:
+    """The other registries: their queries join this module's tables on import."""
+    from cairn import registry_catalogs, registry_graph, registry_index  # noqa: F401
+
+
+_more()

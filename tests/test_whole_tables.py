@@ -39,9 +39,9 @@ def test_rendering_all_claims(spark, sf, mode):
         if mode == "non_merged":
             sets = users[machine]
         elif mode == "split":
-            sets = set() if merges or device[machine] else {machine}
+            sets = set() if merges else {machine}
         else:
-            sets = set() if alone[machine] and merges else {machine if alone[machine] else top[machine]}
+            sets = set() if merges else {machine if alone[machine] else top[machine]}
         for s in sets:
             key = s, f"f{part % 50}", part % 200
             best[key] = min(best.get(key, 1 << 60), part * 10 + line)

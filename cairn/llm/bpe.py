@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks as B
-from cairn.llm.common import small_batches, type_of
+from cairn.llm.common import small_batches, thrifty, type_of
 from cairn.llm.pretoken import Memo, PreTokenizer
 
 
@@ -155,9 +155,9 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str =
     def binary(data: bytes, ends: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(explode, B.ROW_SCHEMA)
-    encoded = B.deal(rows, n_parts, "slot").mapInArrow(encode, B.ROW_SCHEMA)
-    return B.deal(encoded, n_parts, "block", "block", "kind", "part").mapInArrow(assemble, f"`{id_col}` {type_of(docs, id_col)}, ids_le binary, decoded binary")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(thrifty(explode), B.ROW_SCHEMA)
+    encoded = B.deal(rows, n_parts, "slot").mapInArrow(thrifty(encode), B.ROW_SCHEMA)
+    return B.deal(encoded, n_parts, "block", "block", "kind", "part").mapInArrow(thrifty(assemble), f"`{id_col}` {type_of(docs, id_col)}, ids_le binary, decoded binary")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

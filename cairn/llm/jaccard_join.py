@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks as B
-from cairn.llm.common import small_batches, type_of
+from cairn.llm.common import small_batches, thrifty, type_of
 from cairn.llm.ngram_lm import part_bits_for
 from cairn.llm.signature_tree import spanning_links
 from cairn.plans.graph import connected_components
@@ -51,6 +51,8 @@ N = 5
 SHORT = np.uint64(0xA24BAED4963EE407)
 HOT_BITS = 40
 KEY_BITS = 48
+#: Characters in a block: all its sets are held at once.
+BLOCK = 8_000_000
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def shared_shingles(rows: DataFrame, bits: int) -> HotFilter:
     small_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.blocks_of(batches, B.word_tokens):
+        for block in B.blocks_of(batches, B.word_tokens, BLOCK):
             found = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets_of(block)}  # equal sets once
             keys, counts = np.unique(np.concatenate(list(found.values())) >> np.uint64(64 - HOT_BITS), return_counts=True)
             counts = np.minimum(counts, 2)
@@ -135,7 +137,7 @@ def shared_shingles(rows: DataFrame, bits: int) -> HotFilter:
                     mark[at] = True
                 yield B.rows_to_batch([(0, "", B.STATS, part, np.packbits(mark, bitorder="little").tobytes())])
 
-    built = B.deal(rows.mapInArrow(count, B.ROW_SCHEMA), n_parts, "slot").mapInArrow(build, B.ROW_SCHEMA).select("part", "payload").collect()  # ``bits`` in all
+    built = B.deal(rows.mapInArrow(thrifty(count), B.ROW_SCHEMA), n_parts, "slot").mapInArrow(thrifty(build), B.ROW_SCHEMA).select("part", "payload").collect()  # ``bits`` in all
     if not built:
         return HotFilter(None, part_bits, segment_bits)
     data, size = np.zeros(bits >> 3, dtype=np.uint8), segment_bits >> 3
@@ -155,7 +157,7 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
         data, bits, segment_bits = shared.value
         own = HotFilter(None if data is None else np.frombuffer(data, dtype=np.uint8), bits, segment_bits)
         task = TaskContext.get().partitionId()
-        for at, block in enumerate(B.blocks_of(batches, B.word_tokens)):
+        for at, block in enumerate(B.blocks_of(batches, B.word_tokens, BLOCK)):
             first = task << 40 | at << 24
             sets = sets_of(block)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -205,9 +207,9 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
             for a in range(0, len(pairs), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 200_000, 0]), pa.array(pairs[a : a + 200_000, 1])], names=["u", "v"])
 
-    table = written(rows.mapInArrow(sketch, B.ROW_SCHEMA))
-    docs = table.where(F.col("kind") == B.DOCS).select("block", "payload").mapInArrow(documents, f"id {id_type}, node long, n_shingles long, digest binary")
-    edges = B.deal(table.where(F.col("kind") == B.WORDS), n_parts, "slot").mapInArrow(meet, "u long, v long")
+    table = written(rows.mapInArrow(thrifty(sketch), B.ROW_SCHEMA))
+    docs = table.where(F.col("kind") == B.DOCS).select("block", "payload").mapInArrow(thrifty(documents), f"id {id_type}, node long, n_shingles long, digest binary")
+    edges = B.deal(table.where(F.col("kind") == B.WORDS), n_parts, "slot").mapInArrow(thrifty(meet), "u long, v long")
     return docs, edges
 
 
@@ -247,7 +249,7 @@ def tree_links(tasks: DataFrame, id_type: str, percent: int) -> DataFrame:
         if found:
             yield pairs()
 
-    return tasks.mapInArrow(run, f"src {id_type}, dst {id_type}")
+    return tasks.mapInArrow(thrifty(run), f"src {id_type}, dst {id_type}")
 
 
 def with_texts(rows: DataFrame, chosen: DataFrame, most_broadcast: int) -> DataFrame:

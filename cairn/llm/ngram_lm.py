@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks as B
-from cairn.llm.common import fold_is, small_batches, type_of
+from cairn.llm.common import fold_is, small_batches, thrifty, type_of
 from cairn.session import written
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -207,7 +207,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def part_bits_for(n_parts: int) -> int:
-    return max(0, min(12, math.ceil(math.log2(max(1, n_parts)))))
+    return max(0, min(18, math.ceil(math.log2(max(1, n_parts)))))
 
 
 def gram_rows(block: B.Block, name: str, part_bits: int) -> Iterator[tuple]:
@@ -376,9 +376,9 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | Non
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in values], pa.float64()), pa.array([v[1] for v in values], pa.float64())], names=["part", "a", "b"])
 
     small_batches(spark)
-    exploded = rows.mapInArrow(explode, B.ROW_SCHEMA)
-    resolved = written(B.deal(exploded, n_parts, "slot").mapInArrow(resolve, B.ROW_SCHEMA))
-    sums = {r["part"]: (r["a"] or 0, r["b"] or 0) for r in resolved.where(F.col("kind") == B.STATS).select("part", "payload").mapInArrow(totals_of, "part int, a double, b double").groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    exploded = rows.mapInArrow(thrifty(explode), B.ROW_SCHEMA)
+    resolved = written(B.deal(exploded, n_parts, "slot").mapInArrow(thrifty(resolve), B.ROW_SCHEMA))
+    sums = {r["part"]: (r["a"] or 0, r["b"] or 0) for r in resolved.where(F.col("kind") == B.STATS).select("part", "payload").mapInArrow(thrifty(totals_of), "part int, a double, b double").groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
     tokens, texts = map(int, sums.get(0, (0, 0)))
     distinct, mass = sums.get(1, (0, 0.0))
     model = Totals(tokens + texts, texts, int(distinct) + (texts > 0), mass + float(count_of(level_of(np.array([texts])))[0]), sums.get(2, (0.0, 0))[0] / (1 << part_bits), mu)
@@ -429,4 +429,4 @@ def score_texts(docs: DataFrame, fold: tuple[int, int] = (5, 1), bits: int | Non
         return pa.RecordBatch.from_arrays(arrays, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     back = B.deal(resolved.where(F.col("kind") != B.STATS), n_parts, "block", "block", "kind", "part")
-    return back.mapInArrow(assemble, f"`{id_col}` {type_of(docs, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return back.mapInArrow(thrifty(assemble), f"`{id_col}` {type_of(docs, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -6,7 +6,8 @@ and its common words are compared with language references by Jensen-Shannon
 distance, and a text far from every reference is rejected: the distances to the
 nearest reference of each kind may sum to ``max_divergence``. References are sums
 over the whole table, one per language that has a common-word list and one for all
-other languages. Guard: the histograms of texts under ``min_words`` words are thin, so
+other languages; texts with many symbols or capitals are left out of them, other junk is in
+them, so they describe the corpus as it is and not clean text alone. Guard: the histograms of texts under ``min_words`` words are thin, so
 these are held to ``short_divergence`` only (and under 50 words the base rules decide).
 
 Two narrow passes over the text and one tiny aggregation; no text is shuffled.
@@ -83,7 +84,6 @@ def references(rows: DataFrame, lang_col: str, least_words: int) -> dict[str, tu
 
     A few hundred sums reach the driver, whatever the corpus.
     """
-    plain = (F.col("n_symbols") * 50 <= F.col("word_chars")) & (F.col("n_upper") * 4 <= F.col("word_chars"))
     # conditions stand inside expressions, not in filters: the optimiser would push a filter down through every definition above
     plain = (F.col("n_words") >= least_words) & (F.col("n_symbols") * 50 <= F.col("word_chars")) & (F.col("n_upper") * 4 <= F.col("word_chars"))
     own = histograms(rows).withColumn("__ok", plain)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import fold_is, small_batches
+from cairn.llm.common import fold_is, small_batches, thrifty
 from cairn.llm.linear import Linear, fit_logistic
 from cairn.llm.pretoken import Memo
 from cairn.llm.quality import labelled_sample, sampled_texts
@@ -87,7 +87,7 @@ def count_keys(rows: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "key string, label int, n long").groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"))
+    return rows.mapInArrow(thrifty(run), "key string, label int, n long").groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"))
 
 
 def induced(rows: DataFrame, most: int) -> tuple[list[str], dict[int, int]]:
@@ -227,7 +227,7 @@ def feature_rows(rows: DataFrame, voters: Voters, keep: str) -> DataFrame:
                 x = [own.features(t).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=[keep, "x"])
 
-    return rows.mapInArrow(run, f"`{keep}` int, x binary")
+    return rows.mapInArrow(thrifty(run), f"`{keep}` int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, n_labelled: int, n_unlabelled: int, n_voters: int, fold: tuple[int, int], id_col: str, text_col: str) -> tuple[Voters, Linear | None]:
@@ -267,7 +267,7 @@ def scored(docs: DataFrame, labels: DataFrame, columns: list[str], n_labelled: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.astype(float))], names=["__row", "__score"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["__row"], T.StructField("__score", T.DoubleType())]))
+    return rows.mapInArrow(thrifty(run), T.StructType([rows.schema["__row"], T.StructField("__score", T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2), threshold: float = 0.3, id_col: str = "doc_id", **options) -> DataFrame:

@@ -311,6 +311,16 @@ def test_jaccard_join_against_brute_force(spark, options):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id]), texts[r.doc_id] and texts[r.doc_id][:60]
 
 
+def test_jaccard_join_of_a_whole_table(spark):
+    """All documents of sf0.01 against all, by the definition: links found, of all links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, sets = brute_components({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_documents(docs).collect()}
+    right = sum(got[i][1] == want[i] for i in want)
+    print(f"components right: {right} of {len(want)}, {len(set(want.values()))} classes")
+    assert got == {i: (len(sets[i]), want[i]) for i in want}
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join_documents(empty(spark), hot_bits=1 << 16).count() == 0
 

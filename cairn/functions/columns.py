@@ -34,6 +34,17 @@ def size_or_null(size: Column) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(size), F.sum(size))
 
 
+def wanted_digest(sha256: Column, sha1: Column, md5: Column, crc32: Column) -> Column:
+    """"algorithm:hex" of the strongest digest that is known."""
+    named = zip(("sha256", "sha1", "md5", "crc32"), (sha256, sha1, md5, crc32), strict=True)
+    return F.coalesce(*(F.concat(F.lit(f"{name}:"), F.lower(value)) for name, value in named))
+
+
+def only_one(value: Column) -> Column:
+    """Aggregate: the group's value if it has a single row, else null."""
+    return F.when(F.count(F.lit(1)) == 1, F.max(value))
+
+
 def decode(code: Column, names: dict[int, str]) -> Column:
     """Name of an enum code; an unknown code is an error, a null stays null."""
     table = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])

@@ -108,6 +108,12 @@ def readable_routes(recipes: DataFrame, inputs: DataFrame, outputs: DataFrame, c
     return rows.select("node", "recipe", F.when(F.coalesce("labels", F.lit("")) == "", verb).otherwise(F.concat(verb, F.lit(" ← "), F.col("labels"))).alias("route"), (F.coalesce("here", F.lit(1)) == 1).alias("source_present"))
 
 
+def best_seek_class(contents: DataFrame, routes: DataFrame) -> DataFrame:
+    """(node, seek_class): 0 for resident contents, else the best of the routes(node, verify, seek_class) that have not failed, else 2 (opaque)."""
+    best = routes.where(F.col("verify") != FAILED).groupBy("node").agg(F.min("seek_class").alias("best"))
+    return contents.join(best, "node", "left").select("node", F.coalesce(F.when(F.col("resident"), 0), "best", F.lit(2)).alias("seek_class"))
+
+
 def affine_carveout(recipes: DataFrame, inputs: DataFrame, outputs: DataFrame, verified: DataFrame) -> DataFrame:
     """(node): contents that can be read in place. They are verified and resident, or made by a local, affine, verified assembly of such."""
     tight = recipes.where((F.substring_index("op", "@", 1) == "assemble") & (F.col("source") == 0) & (F.col("seek_class") == 0) & F.col("verify").isin(VERIFIED, REPLAYED))
@@ -194,6 +200,18 @@ def pinned(snapshots: DataFrame, tags: DataFrame, image_inputs: DataFrame | None
     return rows.join(tags.select("snapshot").distinct(), "snapshot", "left_semi").select("node").distinct()
 
 
+def pins_of(snapshots: DataFrame, tags: DataFrame, node: Column) -> DataFrame:
+    """(tag): the tags(tag, snapshot) whose snapshot serves a content."""
+    serving = snapshots.where(F.col("node") == node).select("snapshot").distinct()
+    return tags.join(serving, "snapshot", "left_semi").select("tag").distinct()
+
+
+def failed(recipes: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(recipe, op, outputs): recipes that a replay has poisoned, with how many contents they claim to make."""
+    n = outputs.groupBy("recipe").agg(F.count_distinct("node").alias("outputs"))
+    return recipes.where(F.col("verify") == FAILED).join(n, "recipe", "left").select("recipe", "op", F.coalesce("outputs", F.lit(0)).cast("long").alias("outputs"))
+
+
 def missing_inputs(image_inputs: DataFrame, contents: DataFrame) -> DataFrame:
     """(node): distinct inputs of images whose bytes are not here."""
     return image_inputs.select("node").distinct().join(contents.where("resident").select("node"), "node", "left_anti")

@@ -26,6 +26,11 @@ def insert_missing(existing: DataFrame, incoming: DataFrame, key: list[str]) ->
     return existing.unionByName(incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti"))
 
 
+def bulk_insert(rows: DataFrame, folder: str, by: str) -> None:
+    """Write rows into a table partitioned by ``by``: what the rows' own partitions held is replaced, others stay. A repeated insert of a revision changes nothing."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(folder)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], keep_known: list[str] = ()) -> DataFrame:
     """Insert-or-update by key; for ``keep_known`` columns a null does not overwrite a value."""
     o, n = existing.alias("o"), incoming.alias("n")
@@ -61,6 +66,11 @@ def orphan_marks(candidates: DataFrame, marks: DataFrame, key: str, now: int) ->
     return candidates.select(key).distinct().join(marks.select(key, "marked_at"), key, "left").select(key, F.coalesce("marked_at", F.lit(now)).alias("marked_at"))
 
 
+def storage_totals(contents: DataFrame) -> DataFrame:
+    """One row for contents(size, resident): bytes on disk, bytes represented, and how many contents have no known size."""
+    return contents.agg(F.sum(F.when(F.col("resident"), F.col("size"))).alias("on_disk"), F.sum("size").alias("represented"), F.count_if(F.col("size").isNull()).alias("sizeless"))
+
+
 def kept_back(candidates: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """Candidates that no operator has marked to keep."""
     return candidates.join(keep.select(F.col(keep.columns[0]).alias(key)).distinct(), key, "left_anti")

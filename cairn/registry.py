@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import columns as C
-from cairn.operators import audit, byteops, diff, identity, layout, queue, selection, store
+from cairn.operators import audit, byteops, diff, identity, layout, queue, recipes, selection, store
 from cairn.plans import graph
 from cairn.registered import ORACLES, QUERIES, query
 from cairn.session import table as t
@@ -67,8 +67,9 @@ def identity_states(spark, sf):
 def size_and_wanted(spark, sf):
     rows = t(spark, sf, "orders").join(t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).where("l_returnflag <> 'N'")
     size = C.size_or_null(F.expr("nullif(l_linenumber, 7)")).cast("long")
-    algo = F.concat(F.when(F.col("l_returnflag") == "R", "sha256:").otherwise("crc32:"), F.col("l_partkey").cast("string"))
-    return rows.groupBy(F.col("o_orderkey").alias("entry")).agg(F.coalesce(size, F.lit(-1)).alias("size"), F.when(F.count(F.lit(1)) == 1, F.max(algo)).alias("wanted"))
+    part, none = F.col("l_partkey").cast("string"), F.lit(None).cast("string")
+    wanted = C.wanted_digest(F.when(F.col("l_returnflag") == "R", part), none, none, part)
+    return rows.groupBy(F.col("o_orderkey").alias("entry")).agg(F.coalesce(size, F.lit(-1)).alias("size"), C.only_one(wanted).alias("wanted"))
 
 
 # ---------------------------------------------------------------- joins and anti joins
@@ -375,8 +376,9 @@ def grounding(spark, sf):
 
 @query("SELECT p_partkey AS node, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 0 END, (SELECT min(l_linenumber % 3) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag <> 'A'), 2) AS seek_class FROM part")
 def seek_class(spark, sf):
-    routes = t(spark, sf, "lineitem").where("l_returnflag <> 'A'").groupBy(F.col("l_partkey").alias("node")).agg(F.min(F.col("l_linenumber") % 3).alias("c"))
-    return t(spark, sf, "part").select(F.col("p_partkey").alias("node")).join(routes, "node", "left").select("node", F.coalesce(F.when(F.col("node") % 3 == 0, 0), "c", F.lit(2)).alias("seek_class"))
+    routes = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("node"), F.when(F.col("l_returnflag") == "A", recipes.FAILED).otherwise(recipes.VERIFIED).alias("verify"), (F.col("l_linenumber") % 3).alias("seek_class"))
+    contents = t(spark, sf, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 3 == 0).alias("resident"))
+    return recipes.best_seek_class(contents, routes)
 
 
 # ---------------------------------------------------------------- identities

@@ -414,6 +414,46 @@ def container_layouts(spark, sf):
     return rows.groupBy("path").agg(F.count_if(piece).alias("pieces"), F.coalesce(F.sum(F.when(piece, F.col("len"))), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(fill, F.col("len"))), F.lit(0)).alias("filled"), F.max(F.col("note").isNotNull()).alias("refused"))
 
 
+def _cartridges(spark: SparkSession, sf: str) -> DataFrame:
+    """A cartridge image a nation: a header, a program, its customers' names as files, and every fifth header broken."""
+    rows = fixture(spark, sf, "SELECT c_nationkey, c_custkey, c_name FROM customer")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        import struct
+
+        names = [n.encode() for n in pdf.sort_values("c_custkey").c_name]
+        nation, head = int(pdf.c_nationkey.iloc[0]), bytearray(0x200)
+        table_at, at = 0x240, 0x240 + 8 * len(names)
+        table = b""
+        for n in names:
+            table += struct.pack("<II", at, at + len(n))
+            at += len(n)
+        for place, value in ((0x20, 0x200), (0x2C, 0x30), (0x48, table_at), (0x4C, len(table))):
+            struct.pack_into("<I", head, place, value)
+        struct.pack_into("<H", head, 0x15E, byteops.crc16(bytes(head[:0x15E])) ^ (nation % 5 == 0))
+        return pd.DataFrame({"path": [nation], "content": [bytes(head) + b"P" * 0x30 + b"\0" * 0x10 + table + b"".join(names) + b"\xff" * 9]})
+
+    return rows.groupBy("c_nationkey").applyInPandas(build, "path long, content binary")
+
+
+@query("SELECT c_nationkey AS path, CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE count(*) END AS files, CAST(CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE sum(length(c_name)) + 512 + 48 + 16 + 8 * count(*) + 9 END AS BIGINT) AS covered, CAST(CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE 25 END AS BIGINT) AS filled FROM customer GROUP BY c_nationkey")
+def cartridge_layouts(spark, sf):
+    """Cartridge images covered to the last byte; those with a wrong checksum are refused."""
+    rows = containers.layouts(_cartridges(spark, sf), "cartridge")
+    is_file = F.col("name").startswith("file/")
+    return rows.groupBy("path").agg(F.count_if(F.coalesce(is_file, F.lit(False))).alias("files"), F.coalesce(F.sum("len"), F.lit(0)).alias("covered"), F.coalesce(F.sum(F.when(F.col("part") == "fill", F.col("len"))), F.lit(0)).alias("filled"))
+
+
+@query("SELECT o_orderkey AS entry, CASE WHEN o_custkey % 3 = 1 THEN 'second' ELSE 'first' END AS note, CAST(o_custkey % 3 AS INTEGER) AS revision FROM orders")
+def insert_by_revision(spark, sf):
+    """Entries written by revision; one revision written again replaces itself only."""
+    folder = f"{shared_dir(spark).rstrip('/')}/cairn-entries-{spark.sparkContext.applicationId}"
+    rows = fixture(spark, sf, "SELECT o_orderkey AS entry, CAST(o_custkey % 3 AS INTEGER) AS revision FROM orders")
+    store.bulk_insert(rows.withColumn("note", F.lit("first")), folder, "revision")
+    store.bulk_insert(rows.where("revision = 1").withColumn("note", F.lit("second")), folder, "revision")
+    return spark.read.parquet(folder).select("entry", "note", "revision")
+
+
 _DETECTOR = b"""<detector><name>Sample</name><author>a</author><version>1</version>
 <rule start_offset="4" end_offset="EOF" operation="none"><data offset="0" value="48454144" result="true"/></rule>
 <rule start_offset="0" end_offset="-2"><and offset="0" mask="F0" value="70"/><file size="8" operator="greater"/></rule>

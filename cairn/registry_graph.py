@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import recipes as R
-from cairn.operators import recon, state
+from cairn.operators import recon, state, store
 from cairn.plans import graph
 from cairn.registered import fixture, query
 
@@ -308,3 +308,29 @@ def contents_page(spark, sf):
     r = Recipes(spark, sf)
     rows = r.contents.where("resident AND size IS NOT NULL").select("node", "size", (-F.col("size")).alias("o"))
     return state.page(rows, ["o", "node"], 50, 10).drop("o")
+
+
+@query(f"SELECT DISTINCT 't' || c_custkey AS tag FROM customer WHERE c_acctbal < 0 AND CAST(c_custkey AS VARCHAR) IN (SELECT snapshot FROM ({_SNAPSHOTS}) s WHERE node = (SELECT min(l_partkey) FROM lineitem))")
+def pins_of(spark, sf):
+    """The tags that keep the smallest content."""
+    snapshots = fixture(spark, sf, _SNAPSHOTS)
+    tags = fixture(spark, sf, "SELECT 't' || CAST(c_custkey AS VARCHAR) AS tag, CAST(c_custkey AS VARCHAR) AS snapshot FROM customer WHERE c_acctbal < 0")
+    return R.pins_of(snapshots, tags, F.lit(snapshots.agg(F.min("node")).first()[0]))
+
+
+@query(f"{_WITH} SELECT recipe, op, (SELECT count(DISTINCT node) FROM outp WHERE outp.recipe = rec.recipe) AS outputs FROM rec WHERE verify = 2")
+def failed_recipes(spark, sf):
+    r = Recipes(spark, sf)
+    return R.failed(r.recipes, r.outputs)
+
+
+@query(f"WITH RECURSIVE h AS ({_HOPS}), seen(node) AS (SELECT max(a) FROM h UNION SELECT b FROM seen JOIN h ON node = a) SELECT node FROM seen ORDER BY node LIMIT 10")
+def reachable_page(spark, sf):
+    """The first ten nodes that the greatest node leads to: the limit comes after the order, so it always cuts the same."""
+    hops = fixture(spark, sf, _HOPS)
+    return graph.closure(hops, hops.agg(F.max("a").alias("root")), "a", "b").select("node").orderBy("node").limit(10)
+
+
+@query(f"{_WITH} SELECT CAST(sum(CASE WHEN resident THEN size END) AS BIGINT) AS on_disk, CAST(sum(size) AS BIGINT) AS represented, count(*) FILTER (WHERE size IS NULL) AS sizeless FROM con")
+def storage_totals(spark, sf):
+    return store.storage_totals(Recipes(spark, sf).contents)

@@ -205,7 +205,8 @@ def test_zip_members_and_scan(spark, tmp_path):
     assert files.changed(scanned, table).count() == 0 and files.changed(scanned, table.where("path LIKE '%a.zip'")).count() == 1
 
 
-def test_queue_stream(spark, sf, tmp_path):
+@pytest.mark.parametrize("every", [1, 2, 20])
+def test_queue_stream(spark, sf, tmp_path, every):
     import shutil
 
     from cairn.operators.queue import promote
@@ -217,8 +218,8 @@ def test_queue_stream(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = queue_stream.deduplicated(queue_stream.read_events(spark, str(tmp_path / "in"), schema), late="60 days")
     as_rows = lambda b: b.select(F.col("user_id").alias("item"), F.lit("a").alias("analyzer"), F.lit(2).alias("priority"), F.col("event_id").alias("enqueued_at"), F.lit(0).cast("long").alias("leased_until"))
-    run = queue_stream.merge_into_queue(events, as_rows, str(tmp_path / "q"), str(tmp_path / "c"))
+    run = queue_stream.merge_into_queue(events, as_rows, str(tmp_path / "q"), str(tmp_path / "c"), every)
     run.awaitTermination(120)
-    last = max(int(p.name[1:]) for p in (tmp_path / "q").glob("v*"))
+    assert len(list((tmp_path / "q").glob("merged-*"))) == (1 if every <= 2 else 0)
     want = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("m"))
-    assert pairs(spark.read.parquet(str(tmp_path / f"q/v{last}")).select("item", "enqueued_at")) == pairs(want)
+    assert pairs(queue_stream.read_queue(spark, str(tmp_path / "q")).select("item", "enqueued_at")) == pairs(want)

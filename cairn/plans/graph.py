@@ -80,21 +80,20 @@ def moving(jumped: DataFrame) -> tuple[DataFrame, int]:
     return out, int(seen.get["n"])
 
 
-def doubled(hops: DataFrame, n: int, limit: float = 2.0) -> list[DataFrame]:
-    """Hop tables of 1, 2, 4, ... steps, for as long as they are no larger than ``limit`` times the first.
+def doubled(hops: DataFrame, n: int, least: float = 0.5, most: float = 2.0) -> list[DataFrame]:
+    """Hop tables of 1, 2, 4, ... steps, for as long as they are about as large as the first.
 
-    On chains that covers any length in a few tables; on graphs that branch it ends after the first.
+    On long chains that covers any length in a few tables; on graphs that branch, or are shallow, it ends after the first.
     """
     out, size = [hops], n
-    while size and len(out) < 24:
+    while size and len(out) < 40:
         last = out[-1]
-        step = last.join(last.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")).distinct()
+        step = last.join(last.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")).where("node <> next").distinct()
         table, size = counted(step)
-        if size > limit * n:
+        if not least * n <= size <= most * n:
             release(table)
             break
-        if size:
-            out.append(table)
+        out.append(table)
     return out
 
 

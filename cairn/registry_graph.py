@@ -274,14 +274,14 @@ _HOPS = f"SELECT src AS a, dst AS b FROM ({_EDGES}) e WHERE src % 4 = 0 UNION SE
 
 
 @query(
-    f"WITH RECURSIVE h AS ({_HOPS}), seed AS (SELECT min(a) AS n FROM h), down(node) AS (SELECT n FROM seed UNION SELECT b FROM down JOIN h ON node = a), up(node) AS (SELECT n FROM seed UNION SELECT a FROM up JOIN h ON node = b), "
+    f"WITH RECURSIVE h AS ({_HOPS}), seed AS (SELECT a AS n FROM h GROUP BY a ORDER BY count(*) DESC, a LIMIT 1), down(node) AS (SELECT n FROM seed UNION SELECT b FROM down JOIN h ON node = a), up(node) AS (SELECT n FROM seed UNION SELECT a FROM up JOIN h ON node = b), "
     "both_ways AS (SELECT a, b FROM h UNION SELECT b, a FROM h), comp(node) AS (SELECT n FROM seed UNION SELECT b FROM comp JOIN both_ways ON node = a) "
     "SELECT node, CASE WHEN node IN (SELECT node FROM down) THEN 'makes' WHEN node IN (SELECT node FROM up) THEN 'derived-from' ELSE 'related' END AS relation FROM comp WHERE node <> (SELECT n FROM seed)"
 )
 def relations(spark, sf):
-    """The component of the smallest node: what it makes, what it derives from, what is only related."""
+    """The component of the node with most edges: what it makes, what it derives from, what is only related."""
     hops = fixture(spark, sf, _HOPS)
-    seed = hops.agg(F.min("a")).first()[0]
+    seed = hops.groupBy("a").count().orderBy(F.desc("count"), "a").first()["a"]
     return graph.relations(hops, F.lit(seed).cast("long"), "a", "b")
 
 
@@ -310,12 +310,12 @@ def contents_page(spark, sf):
     return state.page(rows, ["o", "node"], 50, 10).drop("o")
 
 
-@query(f"SELECT DISTINCT 't' || c_custkey AS tag FROM customer WHERE c_acctbal < 0 AND CAST(c_custkey AS VARCHAR) IN (SELECT snapshot FROM ({_SNAPSHOTS}) s WHERE node = (SELECT min(l_partkey) FROM lineitem))")
+@query(f"SELECT DISTINCT 't' || c_custkey AS tag FROM customer WHERE c_acctbal < 0 AND CAST(c_custkey AS VARCHAR) IN (SELECT snapshot FROM ({_SNAPSHOTS}) s WHERE node = (SELECT l_partkey FROM lineitem GROUP BY l_partkey ORDER BY count(*) DESC, l_partkey LIMIT 1))")
 def pins_of(spark, sf):
-    """The tags that keep the smallest content."""
+    """The tags that keep the content of most snapshots."""
     snapshots = fixture(spark, sf, _SNAPSHOTS)
     tags = fixture(spark, sf, "SELECT 't' || CAST(c_custkey AS VARCHAR) AS tag, CAST(c_custkey AS VARCHAR) AS snapshot FROM customer WHERE c_acctbal < 0")
-    return R.pins_of(snapshots, tags, F.lit(snapshots.agg(F.min("node")).first()[0]))
+    return R.pins_of(snapshots, tags, F.lit(snapshots.groupBy("node").count().orderBy(F.desc("count"), "node").first()["node"]))
 
 
 @query(f"{_WITH} SELECT recipe, op, (SELECT count(DISTINCT node) FROM outp WHERE outp.recipe = rec.recipe) AS outputs FROM rec WHERE verify = 2")

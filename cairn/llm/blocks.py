@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import small_batches
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 14_000_000
+BLOCK_CHARS = 10_000_000
 
 ROW_SCHEMA = "slot long, block string, kind int, part int, payload binary"
 HEADER, WORDS, DOCS, STATS = 0, 1, 2, 3
@@ -162,8 +162,10 @@ def dictionary_rows(block: Block, name: str, n_parts: int, encode: Callable[[obj
     flat, lengths = block.flat(), block.lengths()
     n = len(block.words)
     by_count = np.argsort(-np.bincount(flat, minlength=n), kind="stable")
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.uint32)
     rank[by_count] = np.arange(n)
+    ranks = rank[flat]
+    del flat
     data = [encode(w) for w in block.words]
     part = np.fromiter((zlib.crc32(d) % n_parts for d in data), dtype=np.int64, count=n)[by_count]
     yield zlib.crc32(name.encode()), name, HEADER, -1, pack(planes(part))
@@ -175,7 +177,7 @@ def dictionary_rows(block: Block, name: str, n_parts: int, encode: Callable[[obj
             words = [data[i] for i in picked.tolist()]
             more = [] if word_extra is None else [planes(word_extra[picked])]
             yield p, name, WORDS, p, pack(planes(np.array([len(w) for w in words])), b"".join(words), *more)
-    ranks, ends = rank[flat], np.cumsum(lengths)
+    ends = np.cumsum(lengths)
     first = 0
     while first < len(lengths):
         base = ends[first] - lengths[first]

@@ -21,6 +21,7 @@ Special tokens are never produced. The rank file (under 1 MB) is broadcast.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,10 @@ from cairn.llm.common import small_batches, thrifty, type_of
 from cairn.llm.pretoken import Memo, PreTokenizer
 
 
+#: Pieces of a block that are put in place at a time.
+RUN = 200_000
+
+
 def read_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
 
@@ -55,15 +60,25 @@ class PieceBlock(B.Block):
     def expanded(self) -> tuple[np.ndarray, np.ndarray]:
         """Pre-token numbers of all documents, and how many each document has."""
         if not hasattr(self, "_expanded"):
-            number = self.words
-            table = [[number[m] for m in self.split.matches(p)] for p in self.pieces]
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in table], dtype=np.int64)]).astype(np.int64)
-            flat = np.array([i for t in table for i in t], dtype=np.int64)
-            picks = np.concatenate(self.tokens).astype(np.int64) if self.tokens else np.zeros(0, np.int64)
-            index, sizes = B.ragged(offsets, picks)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            bounds = np.concatenate([[0], np.cumsum([len(t) for t in self.tokens])])
-            self._expanded = flat[index], np.diff(ends[bounds])
+            number, sizes, flat = self.words, array("q", [0]), array("i")
+            for piece in self.pieces:
+                flat.extend(number[m] for m in self.split.matches(piece))
+                sizes.append(len(flat))
+            self.pieces = B.Numbers()
+            offsets, flat = np.frombuffer(sizes, dtype=np.int64), np.frombuffer(flat, dtype=np.int32)
+            out, lengths, run, held = [np.zeros(0, np.int32)], [], [], 0
+            # runs of documents, so that the arrays of indices stay small
+            for at, picks in enumerate(self.tokens):
+                run.append(picks)
+                held += len(picks)
+                if held >= RUN or at == len(self.tokens) - 1:
+                    index, by_piece = B.ragged(offsets, np.concatenate(run).astype(np.int64))
+                    out.append(flat[index])
+                    ends = np.concatenate([[0], np.cumsum(by_piece)])
+                    lengths.append(np.diff(ends[np.concatenate([[0], np.cumsum([len(x) for x in run])])]))
+                    run, held = [], 0
+            self.tokens = []
+            self._expanded = np.concatenate(out), np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         return self._expanded
 
 

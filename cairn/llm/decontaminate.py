@@ -42,11 +42,11 @@ def sketch_index(items: DataFrame, containment: float) -> DataFrame:
 
 
 def probes(classes: list) -> Column:
-    """Array of (size_class, hash) that a document with shingles ``sh`` asks for, from (size_class, top, least) rows."""
+    """Array of the keys that a document with shingles ``sh`` asks for, from (size_class, top, least) rows; a key stands for a hash in a class."""
 
     def asked(size_class: int, top: int, least: int) -> Column:
         within = F.filter("sh", lambda h: (h <= F.lit(top)) & (F.size("sh") >= least))
-        return F.transform(within, lambda h: F.struct(F.lit(size_class).alias("size_class"), h.alias("hash")))
+        return F.transform(within, lambda h: F.xxhash64(h, F.lit(size_class)))
 
     return F.concat(*(asked(row["size_class"], row["top"], row["least"]) for row in classes))
 
@@ -63,9 +63,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = 0.75, mos
         return F.broadcast(rows) if n <= most_broadcast else rows
 
     texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    asked = with_shingles(texts, "t", "sh").select("doc", F.explode(probes(classes)).alias("p")).select("doc", "p.*") if classes else texts.select("doc", F.lit(0).alias("size_class"), F.lit(0).cast("long").alias("hash")).limit(0)
-    held = small(index.select("size_class", "hash", "item"), sum(row["n"] for row in classes))
-    candidates = cut(asked.join(held, ["size_class", "hash"]).select("doc", "item").distinct())
+    asked = with_shingles(texts, "t", "sh").select("doc", F.explode(probes(classes)).alias("key")) if classes else texts.select("doc", F.lit(0).cast("long").alias("key")).limit(0)
+    held = small(index.select(F.xxhash64("hash", "size_class").alias("key"), "item"), sum(row["n"] for row in classes))
+    candidates = cut(asked.join(held, "key").select("doc", "item").distinct())
     n = candidates.count()
     sets = with_shingles(texts.join(small(candidates.select("doc").distinct(), n), "doc", "left_semi"), "t", "sh").select("doc", "sh")
     pairs = sets.join(small(candidates, n), "doc").join(small(own.select("item", F.col("sh").alias("item_sh")), size), "item")

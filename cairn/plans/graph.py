@@ -17,6 +17,8 @@ from cairn.session import counted, cut, release
 
 #: A growing set is kept as so many tables at most before they are merged into one.
 PIECES = 12
+#: Rows of a loop's table that one task writes.
+ROWS_A_FILE = 100_000
 
 
 class Found:
@@ -50,20 +52,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Returns (node, component), one row per vertex seen.
     """
     base, n = counted(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct())
+    few = -(-n // ROWS_A_FILE)  # no later table is larger than the first
     labels = base.select(F.col("u").alias("node")).union(base.select("v")).distinct().withColumn("component", F.col("node"))
     live, old = base.where("u <> v"), []
     while n:
-        parent = cut(live.union(live.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+        parent = cut(fewer(live.union(live.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), few))
         moved = 1
         while moved:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
             jumped = parent.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).cast("int").alias("moved"))
             old.append(parent)
-            parent, moved = moving(jumped)
+            parent, moved = moving(fewer(jumped, few))
         a = parent.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         b = parent.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         old += [live]
-        live, n = counted(live.join(a, "u").join(b, "v").where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+        live, n = counted(fewer(live.join(a, "u").join(b, "v").where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), few))
         to = parent.select(F.col("node").alias("component"), "root")
         labels = labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
         release(*(t for t in old if t is not base))
@@ -71,6 +74,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return cut(labels)
 
 
+def fewer(df: DataFrame, files: int) -> DataFrame:
+    """Written as ``files`` files at most: small tables of a loop in few, so that the next round starts few tasks."""
+    return df.coalesce(max(1, files)) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def moving(jumped: DataFrame) -> tuple[DataFrame, int]:
     """(node, root) written, and how many pointers moved."""
     from pyspark.sql import Observation

@@ -39,14 +39,19 @@ def thrifty(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where there is a C library that can
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is a C library that can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """mapInArrow with a batch-to-batch function."""
     small_batches(df.sparkSession)

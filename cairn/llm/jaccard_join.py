@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks as B
-from cairn.llm.common import small_batches, thrifty, type_of
+from cairn.llm.common import give_back, small_batches, thrifty, type_of
 from cairn.llm.ngram_lm import part_bits_for
 from cairn.llm.signature_tree import spanning_links
 from cairn.plans.graph import connected_components
@@ -313,6 +313,8 @@ def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28,
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hot = shared_shingles(rows, hot_bits)
     own, edges = sketched(rows, hot, percent, id_type)
+    del hot
+    give_back()
     own = cut(own)
     real = own.where("id IS NOT NULL")
     classes = cut(real.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")))

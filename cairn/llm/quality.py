@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fold_is, map_rows, type_of, uniform
+from cairn.llm.common import fold_is, give_back, map_rows, type_of, uniform
 from cairn.llm.linear import Linear, class_prior, fit_logistic, fit_pu
 from cairn.llm.style import N_FEATURES, describe_all
 
@@ -77,6 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int, n_unlabelled: int
 def score_quality(docs: DataFrame, labels: DataFrame, n_positive: int = 6000, n_unlabelled: int = 12000, fold: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for every document."""
     model, prior = train(docs, labels, n_positive, n_unlabelled, fold, id_col, text_col)
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

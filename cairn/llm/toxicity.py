@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import fold_is, small_batches, thrifty
+from cairn.llm.common import fold_is, give_back, small_batches, thrifty
 from cairn.llm.linear import Linear, fit_logistic
 from cairn.llm.pretoken import Memo
 from cairn.llm.quality import labelled_sample, sampled_texts
@@ -253,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, n_labelled: int, n_unlabelled: int
 def scored(docs: DataFrame, labels: DataFrame, columns: list[str], n_labelled: int = 12000, n_unlabelled: int = 8000, n_voters: int = 64, fold: tuple[int, int] = (4, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__row, __score): a struct of the named columns of every document, and its score."""
     voters, model = train(docs, labels, n_labelled, n_unlabelled, n_voters, fold, id_col, text_col)
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast((voters.keys, model))  # a few thousand numbers
     small_batches(docs.sparkSession)
 

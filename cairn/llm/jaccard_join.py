@@ -150,12 +150,12 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
     """(id, node, n_shingles, digest) per document, and candidate edges (u, v) between nodes."""
     part_bits = part_bits_for(B.part_count(rows))
     n_parts = 1 << part_bits
-    shared = rows.sparkSession.sparkContext.broadcast((None if hot.data is None else hot.data.tobytes(), hot.part_bits, hot.segment_bits))
+    shared = rows.sparkSession.sparkContext.broadcast((hot.data, hot.part_bits, hot.segment_bits))
     small_batches(rows.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bits, segment_bits = shared.value
-        own = HotFilter(None if data is None else np.frombuffer(data, dtype=np.uint8), bits, segment_bits)
+        own = HotFilter(data, bits, segment_bits)
         task = TaskContext.get().partitionId()
         for at, block in enumerate(B.blocks_of(batches, B.word_tokens, BLOCK)):
             first = task << 40 | at << 24
@@ -307,7 +307,7 @@ def bucket_links(rows: DataFrame, members: DataFrame, candidates: DataFrame, id_
     return links.union(part_links(rows, cut(parts_of(rest, large)), id_type, percent, most_broadcast, True))
 
 
-def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 28, chunk: int = 100_000, large: int = 4_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 27, chunk: int = 100_000, large: int = 4_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every document."""
     id_type = type_of(docs, id_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

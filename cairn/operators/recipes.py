@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.columns import route_verb
 from cairn.operators.selection import numbered
-from cairn.plans.graph import closure, grounded, grounded_without
+from cairn.plans.graph import grounded, grounded_without, reached
 from cairn.session import cut
 
 # Verify states, and the changes of state that are legal.
@@ -125,29 +125,70 @@ def fetch_walk(wants: DataFrame, recipes: DataFrame, inputs: DataFrame, outputs:
 
     A resident content is supported. Another takes its first recipe (by id, not failed) none of whose inputs is being
     walked already, and walks these; without one it is fetched. Each content is settled once, in the order of
-    the walk, so the result depends on that order where recipes form cycles. The walk is a depth-first search on the
-    driver over the part of the graph that the wants reach; more than ``most`` rows of it are an error.
+    the walk, so the result depends on that order where recipes form cycles.
+
+    A content from which first recipes lead into no cycle always takes its first recipe: what is being walked above it
+    would have to be among its own inputs. So where first recipes lead into no cycle the walk is a closure over them, of any
+    size. Only contents that lead into one are walked one by one on the driver, with all their recipes; more
+    than ``most`` rows of these are an error.
     """
     usable = recipes.where(F.col("verify") != FAILED).select("recipe")
     made = outputs.join(usable, "recipe", "left_semi").select("recipe", "node").distinct()
-    absent = made.join(contents.where("resident").select("node"), "node", "left_anti")
-    hops = absent.join(inputs.select("recipe", F.col("node").alias("input")).distinct(), "recipe").select("node", "input")
-    near = cut(closure(hops, wants.select(F.col(wants.columns[0]).alias("root")), "node", "input").select("node").distinct())
-    edges = near.join(absent, "node").join(inputs.select("recipe", "position", F.col("node").alias("input")), "recipe", "left").select("node", "recipe", "position", "input")
-    edges = cut(edges)
-    if edges.count() + near.count() > most:
-        raise RuntimeError("the walk reaches too many contents")
-    here = {r[0] for r in near.join(contents.where("resident").select("node"), "node", "left_semi").collect()}
+    absent = cut(made.join(contents.where("resident").select("node"), "node", "left_anti").select("recipe", "node"))
+    firsts = cut(absent.where("node IS NOT NULL").groupBy("node").agg(F.min("recipe").alias("recipe")))
+    used = inputs.select("recipe", F.col("node").alias("input")).where("input IS NOT NULL").distinct()
+    steps = cut(firsts.join(used, "recipe").select("recipe", "node", "input"))
+    asked = cut(wants.select(F.col(wants.columns[0]).alias("node")).where("node IS NOT NULL").distinct())
+    near = cut(reached(steps, asked, "node", "input"))
+    loose = _cyclic(steps.join(near, "node", "left_semi"), firsts.join(near, "node", "left_semi"))
+    if loose is not None:
+        walked, exits = _walk_cycles(asked, loose, steps, firsts, absent, inputs, contents, most)
+        near = cut(reached(steps.join(walked, "node", "left_anti"), exits, "node", "input").unionByName(walked.select("node")).distinct())
+    here = contents.where("resident").select("node").distinct().withColumn("here", F.lit(True))
+    told = near.join(here, "node", "left").join(firsts.select("node", F.lit(True).alias("made")), "node", "left")
+    outcome = F.when(F.coalesce("here", "made", F.lit(False)), "supported").otherwise("fetch")
+    if loose is None:
+        return cut(told.select("node", outcome.alias("outcome")))
+    return cut(told.join(walked, "node", "left").select("node", F.coalesce("outcome", outcome).alias("outcome")))
+
+
+def _cyclic(steps: DataFrame, firsts: DataFrame) -> DataFrame | None:
+    """(node): contents from which steps(recipe, node, input) of firsts(recipe, node) lead into a cycle; None where there are none."""
+    ways = steps.agg(F.count_if(F.col("input") >= F.col("node")).alias("up"), F.count_if(F.col("input") <= F.col("node")).alias("down")).first()
+    if not ways["up"] or not ways["down"]:  # every step leads the same way along the order of contents
+        return None
+    leaves = steps.select(F.col("input").alias("node")).distinct().join(firsts, "node", "left_anti")
+    free = grounded(firsts.select("recipe"), steps.select("recipe", F.col("input").alias("node")), firsts, leaves)
+    loose = cut(firsts.select("node").join(free, "node", "left_anti"))
+    return None if loose.isEmpty() else loose
+
+
+def _walk_cycles(asked: DataFrame, loose: DataFrame, steps: DataFrame, firsts: DataFrame, absent: DataFrame, inputs: DataFrame, contents: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Walk what may lead into a cycle on the driver: (node, outcome) of it, and (node), the other contents that the walk enters.
+
+    Such contents may take another recipe than their first, so all that they reach by any recipe counts.
+    """
+    hops = absent.join(inputs.select("recipe", F.col("node").alias("input")).distinct(), "recipe")
+    near = cut(reached(hops, asked, "node", "input"))
+    loose = _cyclic(steps.join(near, "node", "left_semi"), firsts.join(near, "node", "left_semi"))
+    edges = cut(loose.join(absent, "node").join(inputs.select("recipe", "position", F.col("node").alias("input")), "recipe", "left").select("node", "recipe", "position", "input"))
+    if edges.count() + loose.count() > most:
+        raise RuntimeError("the walk reaches too many contents in or above cycles")
     routes: dict = {}
     for r in edges.orderBy("node", "recipe", "position").collect():
         of_recipe = routes.setdefault(r["node"], {}).setdefault(r["recipe"], [])
         if r["input"] is not None:
             of_recipe.append(r["input"])
     settled: dict = {}
-    for want in sorted(r[0] for r in wants.distinct().collect()):
-        _walk(want, here, routes, settled)
-    kind = near.schema["node"].dataType.simpleString()
-    return near.sparkSession.createDataFrame(sorted(settled.items()), f"node {kind}, outcome string")
+    outside = {n for ins in routes.values() for used in ins.values() for n in used} - routes.keys()
+    # wants outside need no place in the order: what they walk leads into no cycle
+    for want in sorted(r[0] for r in asked.join(loose, "node", "left_semi").collect()):
+        _walk(want, outside, routes, settled)
+    node = f"node {loose.schema['node'].dataType.simpleString()}"
+    spark = loose.sparkSession
+    walked = spark.createDataFrame(sorted((n, o) for n, o in settled.items() if n in routes), f"{node}, outcome string")
+    entered = spark.createDataFrame(sorted((n,) for n in settled if n not in routes), node)
+    return cut(walked), cut(entered.union(asked.join(loose, "node", "left_anti")).distinct())
 
 
 def _walk(start, here: set, routes: dict, settled: dict) -> None:

@@ -124,6 +124,43 @@ def test_fetch_walk_of_cycles(spark):
         recipes.fetch_walk(spark.createDataFrame([("a",)], "node string"), r, i, o, c, most=1)
 
 
+def test_fetch_walk_without_cycles_has_no_bound(spark):
+    """Recipes that lead into no cycle are followed by a closure: ``most`` bounds only what the driver walks."""
+    r, i, o, c = tables(spark, [(k, "a@1", 1, 0, 0) for k in range(1, 4)], [(1, 0, "b"), (1, 1, "x"), (2, 0, "a"), (3, 0, "c")], [(1, "c"), (2, "b"), (3, "c")], [("a", 1, True), ("x", 1, False)])
+    got = {x.node: x.outcome for x in recipes.fetch_walk(spark.createDataFrame([("c",)], "node string"), r, i, o, c, most=1).collect()}
+    assert got == {"a": "supported", "b": "supported", "c": "supported", "x": "fetch"}
+
+
+def test_fetch_walk_on_random_graphs(spark):
+    """The walk as its definition has it, one content after the other, on graphs with and without cycles."""
+    rng = random.Random(11)
+    for up in (0.0, 0.05, 0.3):
+        n = 40
+        rows, ins, outs, routes = [], [], [], {}
+        for k in range(60):
+            made = rng.randrange(3, n)
+            used = rng.sample(range(made if rng.random() >= up else n), rng.randint(1, 3))
+            rows.append((k, "x@1", 1, 0, 0))
+            ins += [(k, p, f"n{u:02}") for p, u in enumerate(used)]
+            outs.append((k, f"n{made:02}"))
+            routes.setdefault(f"n{made:02}", []).append([f"n{u:02}" for u in used])
+        here = {f"n{k:02}" for k in range(n) if rng.random() < 0.2}
+        wants, want = [f"n{k:02}" for k in (39, 38, 20, 5, 1)], {}
+
+        def visit(node, path, routes=routes, here=here, want=want):
+            if node in want or node in path:
+                return
+            route = None if node in here else next((x for x in routes.get(node, []) if node not in x and not path & set(x)), None)
+            for x in route or []:
+                visit(x, path | {node})
+            want[node] = "supported" if node in here or route is not None else "fetch"
+
+        for w in sorted(wants):
+            visit(w, frozenset())
+        r, i, o, c = tables(spark, rows, ins, outs, [(f"n{k:02}", 1, f"n{k:02}" in here) for k in range(n)])
+        assert {x.node: x.outcome for x in recipes.fetch_walk(spark.createDataFrame([(w,) for w in wants], "node string"), r, i, o, c).collect()} == want
+
+
 def test_chains_of_any_length(spark):
     n = 1000
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")

@@ -3,11 +3,10 @@
 1. Shingles are hashed to 64 bits. Exact equal sets form a class (digest).
 2. Candidates are found without loss by prefix filtering: under one global order of
    shingles, two sets of Jaccard >= t share one of their first n - ceil(t n) + 1
-   shingles. The order puts shingles that several sets hold last; they are read from a
-   Bloom filter of fixed size, built from counts over all documents. A shingle
-   outside the filter has one set only, so it takes its place in the prefix but
-   need not be sent anywhere: texts with a quarter of their shingles to themselves
-   end here. A full filter only sends more; it never loses a pair.
+   shingles. The order puts rare shingles first, by powers of two of their counts over all
+   documents: blocks deal their shingles by hash, and every part answers each block with their levels and numbers,
+   so nothing is broadcast and no filter fills up. A shingle of one set only takes its place in the prefix but
+   need not be sent anywhere: texts with a quarter of their shingles to themselves end here.
 3. Sets that share a prefix shingle form a bucket. Buckets get signature trees: nodes
    hold the OR of token bitmaps and size ranges, and a dual traversal prunes node
    pairs by their greatest possible overlap and compares the rest exactly. Pairs
@@ -31,6 +30,7 @@ order; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,16 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks as B
-from cairn.llm.common import give_back, small_batches, thrifty, type_of
+from cairn.llm.common import small_batches, thrifty, type_of
 from cairn.llm.ngram_lm import part_bits_for
 from cairn.llm.signature_tree import spanning_links
 from cairn.plans.graph import connected_components
-from cairn.session import cut, written
+from cairn.session import cut, release, written
 
 N = 5
 SHORT = np.uint64(0xA24BAED4963EE407)
-HOT_BITS = 40
 KEY_BITS = 48
+ID_BITS = 24
 #: Characters in a block: all its sets are held at once.
 BLOCK = 8_000_000
 
@@ -82,105 +82,92 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-class HotFilter:
-    """Membership of shingles in a Bloom filter of fixed size; a key's top bits choose its segment."""
-
-    def __init__(self, data: np.ndarray | None, part_bits: int, segment_bits: int):
-        self.data, self.part_bits, self.segment_bits = data, part_bits, segment_bits
-
-    @staticmethod
-    def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-        h = B.mix(keys)
-        return [(h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
-
-    def has(self, shingles: np.ndarray) -> np.ndarray:
-        if self.data is None:
-            return np.zeros(len(shingles), dtype=bool)
-        keys = shingles >> np.uint64(64 - HOT_BITS)
-        base = (keys >> np.uint64(HOT_BITS - self.part_bits)).astype(np.int64) * self.segment_bits
-        found = np.ones(len(keys), dtype=bool)
-        for at in self.places(keys, self.segment_bits):
-            spot = base + at
-            found &= (self.data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-        return found
-
-
-def shared_shingles(rows: DataFrame, bits: int) -> HotFilter:
-    """Shingles of two or more different sets, counted over all documents."""
-    part_bits = part_bits_for(B.part_count(rows))
-    n_parts, segment_bits = 1 << part_bits, bits >> part_bits
-    small_batches(rows.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.blocks_of(batches, B.word_tokens, BLOCK):
-            found = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets_of(block)}  # equal sets once
-            keys, counts = np.unique(np.concatenate(list(found.values())) >> np.uint64(64 - HOT_BITS), return_counts=True)
-            counts = np.minimum(counts, 2)
-            bounds = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(HOT_BITS - part_bits)).tolist()
-            out = [(p, "", B.WORDS, p, B.pack(B.planes(np.diff(keys[a:b], prepend=np.uint64(0))), B.planes(counts[a:b]))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-            if out:
-                yield B.rows_to_batch(out)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for part, payload in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                fields = B.unpack(payload)
-                parts.setdefault(part, []).append((np.cumsum(B.from_planes(fields[0]), dtype=np.uint64), B.from_planes(fields[1])))
-        for part, held in parts.items():
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([c for _, c in held]))
-            hot = keys[counts > 1]
-            if len(hot):
-                mark = np.zeros(segment_bits, dtype=bool)
-                for at in HotFilter.places(hot, segment_bits):
-                    mark[at] = True
-                yield B.rows_to_batch([(0, "", B.STATS, part, np.packbits(mark, bitorder="little").tobytes())])
-
-    built = B.deal(rows.mapInArrow(thrifty(count), B.ROW_SCHEMA), n_parts, "slot").mapInArrow(thrifty(build), B.ROW_SCHEMA).select("part", "payload").collect()  # ``bits`` in all
-    if not built:
-        return HotFilter(None, part_bits, segment_bits)
-    data, size = np.zeros(bits >> 3, dtype=np.uint8), segment_bits >> 3
-    for part, payload in built:
-        data[part * size : (part + 1) * size] = np.frombuffer(bytes(payload), dtype=np.uint8)
-    return HotFilter(data, part_bits, segment_bits)
-
-
-def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tuple[DataFrame, DataFrame]:
-    """(id, node, n_shingles, digest) per document, and candidate edges (u, v) between nodes."""
+def sketched(rows: DataFrame, percent: int, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, node, n_shingles, digest) per document, candidate edges (u, v) between nodes, and the table that both read."""
     part_bits = part_bits_for(B.part_count(rows))
     n_parts = 1 << part_bits
-    shared = rows.sparkSession.sparkContext.broadcast((hot.data, hot.part_bits, hot.segment_bits))
     small_batches(rows.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, bits, segment_bits = shared.value
-        own = HotFilter(data, bits, segment_bits)
         task = TaskContext.get().partitionId()
         for at, block in enumerate(B.blocks_of(batches, B.word_tokens, BLOCK)):
-            first = task << 40 | at << 24
+            name = str(task << 40 | at << 24)
             sets = sets_of(block)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            flags = np.split(own.has(np.concatenate(sets)), np.cumsum(sizes)[:-1])
-            keys, nodes = [], []
-            seen: set[bytes] = set()
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            for i, (s, hot_ones) in enumerate(zip(sets, flags, strict=True)):
-                if not len(s) or block.ids[i] is None or digests[i] in seen:
-                    continue
-                seen.add(digests[i])  # equal sets share a digest; one of them stands for all
-                shared_ones = s[hot_ones]
-                p = prefix_length(len(s), percent) - (len(s) - len(shared_ones))  # the set's own shingles come first and meet nothing
-                if p > 0:
-                    keys.append(shared_ones[:p] >> np.uint64(64 - KEY_BITS))
-                    nodes.append(np.full(len(keys[-1]), i, dtype=np.int64))
-            out = [(0, str(first), B.DOCS, 0, B.pack(B.ids_to_bytes(block.ids, block.id_type), B.planes(sizes), b"".join(digests)))]
-            if keys:
-                key, node = np.concatenate(keys), np.concatenate(nodes)
-                order = np.argsort(key, kind="stable")
-                key, node = key[order], node[order]
-                bounds = np.searchsorted(key, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS - part_bits)).tolist()
-                out += [(p, str(first), B.WORDS, p, B.pack(B.planes(np.diff(key[a:b], prepend=np.uint64(0))), B.planes(node[a:b]))) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+            one_each = {d: i for i, d in reversed(list(enumerate(digests))) if len(sets[i]) and block.ids[i] is not None}  # equal sets share a digest; one of them stands for all
+            picks = np.array(sorted(one_each.values()), dtype=np.int64)
+            yield B.rows_to_batch([(zlib.crc32(name.encode()), name, B.DOCS, 0, B.pack(B.ids_to_bytes(block.ids, block.id_type), B.planes(sizes), b"".join(digests)))])
+            if not len(picks):
+                continue
+            keys, ranks, counts = np.unique(np.concatenate([sets[i] for i in picks.tolist()]) >> np.uint64(64 - KEY_BITS), return_inverse=True, return_counts=True)
+            bounds = np.searchsorted(keys, np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS - part_bits))
+            steps, starts = np.diff(ranks, prepend=0), np.cumsum(sizes[picks])[:-1]
+            steps[starts] = ranks[starts]
+            out = [(zlib.crc32(name.encode()), name, B.HEADER, -1, B.pack(B.planes(bounds), B.planes(picks), B.planes(sizes[picks]), B.planes(steps)))]
+            out += [(p, name, B.WORDS, p, B.pack(B.planes(np.diff(keys[a:b], prepend=np.uint64(0))), B.planes(counts[a:b]))) for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
+            yield B.rows_to_batch(out)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            others = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[2] == B.WORDS:
+                    fields = B.unpack(row[4])
+                    held.setdefault(row[3], []).append((row[1], np.cumsum(B.from_planes(fields[0]), dtype=np.uint64), B.from_planes(fields[1])))
+                else:
+                    others.append(row)
+            if others:
+                yield B.rows_to_batch(others)
+        for part, blocks in held.items():
+            keys, where = np.unique(np.concatenate([k for _, k, _ in blocks]), return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate([c for _, _, c in blocks])).astype(np.int64)
+            levels = np.searchsorted(1 << np.arange(1, 40), counts, side="right")  # 0: of one set only
+            numbers = np.cumsum(levels > 0)
+            at = 0
+            for name, own, _ in blocks:
+                mine = where[at : at + len(own)]
+                at += len(own)
+                level = levels[mine]
+                yield B.rows_to_batch([(zlib.crc32(name.encode()), name, B.WORDS, part, B.pack(B.planes(level), B.planes(np.diff(numbers[mine[level > 0]], prepend=0))))])
+
+    def prefixes(name: str, header: bytes, answers: list[tuple]) -> list[tuple]:
+        bounds, picks, sizes, steps = (B.from_planes(f).astype(np.int64) for f in B.unpack(header))
+        levels, numbers = np.zeros(bounds[-1], dtype=np.int64), np.zeros(bounds[-1], dtype=np.int64)
+        for part, payload in answers:
+            fields = B.unpack(payload)
+            span = slice(bounds[part], bounds[part + 1])
+            levels[span] = B.from_planes(fields[0])
+            numbers[span][levels[span] > 0] = np.cumsum(B.from_planes(fields[1]).astype(np.int64))
+        chosen, nodes = [], []
+        for i, step in zip(picks.tolist(), np.split(steps, np.cumsum(sizes)[:-1]), strict=True):
+            ranks = np.cumsum(step)
+            level = levels[ranks]
+            shared = ranks[level > 0]
+            p = prefix_length(len(ranks), percent) - (len(ranks) - len(shared))  # the set's own shingles come first and meet nothing
+            if p > 0:
+                chosen.append(shared[np.argsort(level[level > 0], kind="stable")[:p]])
+                nodes.append(np.full(len(chosen[-1]), i, dtype=np.int64))
+        if not chosen:
+            return []
+        rank, node = np.concatenate(chosen), np.concatenate(nodes)
+        order = np.argsort(rank, kind="stable")
+        rank, node = rank[order], node[order]
+        cuts = np.searchsorted(rank, bounds).tolist()
+        return [(p, name, B.WORDS, p, B.pack(B.planes(np.diff(numbers[rank[a:b]], prepend=0)), B.planes(node[a:b]))) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, header, answers = None, b"", []
+        for batch in batches:
+            for _, block, kind, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == B.HEADER:  # the first row of a block
+                    if name is not None and (out := prefixes(name, header, answers)):
+                        yield B.rows_to_batch(out)
+                    name, header, answers = block, payload, []
+                else:
+                    answers.append((part, payload))
+        if name is not None and (out := prefixes(name, header, answers)):
             yield B.rows_to_batch(out)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +194,11 @@ def sketched(rows: DataFrame, hot: HotFilter, percent: int, id_type: str) -> tup
             for a in range(0, len(pairs), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 200_000, 0]), pa.array(pairs[a : a + 200_000, 1])], names=["u", "v"])
 
-    table = written(rows.mapInArrow(thrifty(sketch), B.ROW_SCHEMA))
+    table = written(B.deal(rows.mapInArrow(thrifty(sketch), B.ROW_SCHEMA), n_parts, "slot").mapInArrow(thrifty(answer), B.ROW_SCHEMA))
     docs = table.where(F.col("kind") == B.DOCS).select("block", "payload").mapInArrow(thrifty(documents), f"id {id_type}, node long, n_shingles long, digest binary")
-    edges = B.deal(table.where(F.col("kind") == B.WORDS), n_parts, "slot").mapInArrow(thrifty(meet), "u long, v long")
-    return docs, edges
+    asked = B.deal(table.where(F.col("kind") != B.DOCS), n_parts, "slot", "block", "kind").mapInArrow(thrifty(choose), B.ROW_SCHEMA)
+    edges = B.deal(asked, n_parts, "slot").mapInArrow(thrifty(meet), "u long, v long")
+    return docs, edges, table
 
 
 def tree_links(tasks: DataFrame, id_type: str, percent: int) -> DataFrame:
@@ -253,8 +241,30 @@ def tree_links(tasks: DataFrame, id_type: str, percent: int) -> DataFrame:
 
 
 def with_texts(rows: DataFrame, chosen: DataFrame, most_broadcast: int) -> DataFrame:
-    """Rows of ``chosen`` (with their id) and the texts of these ids; a short list is broadcast, so that other texts stay where they are."""
-    return rows.join(F.broadcast(chosen) if chosen.count() <= most_broadcast else chosen, "id")
+    """Rows of ``chosen`` (with their id) and the texts of these ids.
+
+    A short list is broadcast, so that other texts stay where they are. A longer one is shuffled, and of the texts only
+    those whose id's hash is in a table of 2^ID_BITS bits, so that not all texts are shuffled.
+    """
+    if chosen.count() <= most_broadcast:
+        return rows.join(F.broadcast(chosen), "id")
+    return likely(rows, chosen).join(chosen, "id")
+
+
+def likely(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows (id, text) whose id's hash is that of a chosen id."""
+    small_batches(rows.sparkSession)
+    place = F.xxhash64("id").bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int").alias("place")
+    mark = np.zeros(1 << ID_BITS, dtype=bool)
+    mark[chosen.select(place).distinct().toArrow().column(0).to_numpy()] = True  # 2^ID_BITS numbers at most
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(mark))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column(2).to_numpy()])).select(["id", "text"])
+
+    return rows.select("id", "text", place).mapInArrow(thrifty(some), rows.schema)
 
 
 def parts_of(members: DataFrame, shingles: int) -> DataFrame:
@@ -308,13 +318,13 @@ def bucket_links(rows: DataFrame, members: DataFrame, candidates: DataFrame, id_
 
 
 def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 27, chunk: int = 100_000, large: int = 4_000_000, most_broadcast: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every document."""
+    """(id, n_shingles, component_id) for every document.
+
+    ``hot_bits`` has no effect: the filter whose size it set is gone.
+    """
     id_type = type_of(docs, id_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    hot = shared_shingles(rows, hot_bits)
-    own, edges = sketched(rows, hot, percent, id_type)
-    del hot
-    give_back()
+    own, edges, table = sketched(rows, percent, id_type)
     own = cut(own)
     real = own.where("id IS NOT NULL")
     classes = cut(real.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n")))
@@ -323,6 +333,7 @@ def join_documents(docs: DataFrame, percent: int = 75, hot_bits: int = 1 << 27,
     several = cut(by_node.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("rep").alias("texts")).where("least < most OR (texts > 0 AND texts < n_rows)").select("id"))
     a, b = by_node.select(F.col("node").alias("u"), F.col("rep").alias("src")), by_node.select(F.col("node").alias("v"), F.col("rep").alias("dst"))
     candidates = cut(edges.join(a, "u").join(b, "v").where("src <> dst").select("src", "dst").distinct())
+    release(table)
     ids = candidates.select(F.col("src").alias("id")).union(candidates.select("dst")).distinct()
     members = cut(ids.join(classes.select(F.col("rep").alias("id"), "n", "digest"), "id"))
     links = bucket_links(rows, members, candidates, id_type, percent, chunk, large, most_broadcast)

@@ -372,3 +372,21 @@ def test_pipeline(spark, sf):
     lib = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks(), special_tokens={})
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id: np.frombuffer(bytes(r.ids_le), "<u4").tolist() for r in out} == {i: lib.encode_ordinary(t) for i, t in texts.items()}
+
+
+def test_jaccard_join_moves_few_texts(spark, monkeypatch):
+    """Rare shingles come first, so a common passage makes no bucket; and of the texts only those of chosen ids are shuffled."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    docs = frame(spark, [" ".join([words(f"own{i}_", 9), words(f"pair{i // 2}_", 34), words("common", 64)]) for i in range(40)])
+    largest, plain = [], jaccard_join.part_links
+
+    def part_links(rows, dealt, *args):
+        largest.append(dealt.groupBy("cluster").count().agg(F.max("count")).first()[0])
+        return plain(rows, dealt, *args)
+
+    monkeypatch.setattr(jaccard_join, "part_links", part_links)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_documents(docs).collect() if r.doc_id is not None}
+    assert got == {i: i - i % 2 for i in range(40)} and max(largest) == 2
+    rows = spark.range(5000).select("id", F.lit("x").alias("text"))
+    found = jaccard_join.likely(rows, rows.where("id % 1000 = 0")).select("id").collect()
+    assert {r.id for r in found} >= {0, 1000, 2000, 3000, 4000} and len(found) < 50

@@ -133,11 +133,12 @@ def fetch_walk(wants: DataFrame, recipes: DataFrame, inputs: DataFrame, outputs:
     than ``most`` rows of these are an error.
     """
     usable = recipes.where(F.col("verify") != FAILED).select("recipe")
-    made = outputs.join(usable, "recipe", "left_semi").select("recipe", "node").distinct()
+    made = outputs.join(usable, "recipe", "left_semi").select("recipe", "node")
     absent = cut(made.join(contents.where("resident").select("node"), "node", "left_anti").select("recipe", "node"))
     firsts = cut(absent.where("node IS NOT NULL").groupBy("node").agg(F.min("recipe").alias("recipe")))
-    used = inputs.select("recipe", F.col("node").alias("input")).where("input IS NOT NULL").distinct()
-    steps = cut(firsts.join(used, "recipe").select("recipe", "node", "input"))
+    # distinct after the join: of first recipes only
+    used = inputs.select("recipe", F.col("node").alias("input")).where("input IS NOT NULL")
+    steps = cut(firsts.join(used, "recipe").select("recipe", "node", "input").distinct())
     asked = cut(wants.select(F.col(wants.columns[0]).alias("node")).where("node IS NOT NULL").distinct())
     near = cut(reached(steps, asked, "node", "input"))
     loose = _cyclic(steps.join(near, "node", "left_semi"), firsts.join(near, "node", "left_semi"))
@@ -168,6 +169,7 @@ def _walk_cycles(asked: DataFrame, loose: DataFrame, steps: DataFrame, firsts: D
 
     Such contents may take another recipe than their first, so all that they reach by any recipe counts.
     """
+    absent = absent.distinct()
     hops = absent.join(inputs.select("recipe", F.col("node").alias("input")).distinct(), "recipe")
     near = cut(reached(hops, asked, "node", "input"))
     loose = _cyclic(steps.join(near, "node", "left_semi"), firsts.join(near, "node", "left_semi"))

@@ -25,7 +25,7 @@ class Recipes:
     """The fixture's tables."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        run = lambda sql: fixture(spark, sf, sql)
+        run = lambda sql: fixture(spark, sf, sql, {"lineitem": "l_orderkey"})
         self.recipes, self.inputs, self.outputs, self.contents = run(_RECIPES), run(_IN), run(_OUT), run(_CONTENTS)
         self.seeds, self.pinned = self.contents.where("resident").select("node"), run(_PINNED)
 

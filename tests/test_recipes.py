@@ -168,6 +168,28 @@ def test_sync_savings_of_a_walk_without_bound(spark):
     assert tuple(got) == (10, 3, 1, 70)
 
 
+def test_sync_savings_sorts_a_bounded_part_in_a_task(spark, sf, monkeypatch):
+    """The recipes' lines are dealt by recipe into parts of so many rows, whatever the session's number of shuffle partitions; the result is the same."""
+    from cairn import registered
+    from cairn.registry_graph import Recipes
+
+    want = registry.QUERIES["sync_savings"](spark, sf).first()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(registered, "ROWS_A_TASK", 300, raising=False)
+    r = Recipes(spark, sf)
+    for rows in (r.recipes, r.inputs, r.outputs):
+        parts = [x["count"] for x in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert len(parts) == lines // 300 and max(parts) <= 450
+    assert registry.QUERIES["sync_savings"](spark, sf).first() == want and want["wanted"] > 0
+
+
+def test_fetch_walk_of_repeated_rows(spark):
+    r, i, o, c = tables(spark, [(1, "a@1", 1, 0, 0), (2, "a@1", 1, 0, 0), (3, "a@1", 1, 0, 0)], [(1, 0, "b"), (1, 1, "x"), (2, 0, "c"), (3, 0, "x")], [(1, "c"), (2, "b"), (3, "d")], [("b", 5, False), ("c", 10, False), ("d", 2, False), ("x", 3, False)])
+    want = spark.createDataFrame([("c",), ("d",)], "node string")
+    once = sorted(recipes.fetch_walk(want, r, i, o, c).collect())
+    assert once == sorted(recipes.fetch_walk(want, r.union(r), i.union(i), o.union(o), c).collect()) and once == [("b", "fetch"), ("c", "supported"), ("d", "supported"), ("x", "fetch")]
+
+
 def test_fetch_walk_on_random_graphs(spark):
     """The walk as its definition has it, one content after the other, on graphs with and without cycles."""
     rng = random.Random(11)
